@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import near_dedup, token_files
+from sluice.llm import language_id, near_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op7_language_id": language_id.op7_language_id,
         "op9_near_dedup": near_dedup.op9_near_dedup,
     }
 
