@@ -36,6 +36,24 @@ def lanes(n: int) -> np.ndarray:
     return _lanes
 
 
+_tables: dict[bool, np.ndarray] = {}
+
+
+def word_table(digits: bool = True) -> np.ndarray:
+    """By code point: its lower case where it is a letter, a mark or (with digits) a number, else 0."""
+    if digits not in _tables:
+        import unicodedata
+
+        table = np.zeros(0x110000, np.uint32)
+        for c in range(0x33480):
+            kind = unicodedata.category(ch := chr(c))
+            if kind[0] == "L" or kind in ("Mn", "Mc") or digits and kind[0] == "N":
+                low = ch.lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _tables[digits] = table
+    return _tables[digits]
+
+
 def slices(texts: Sequence[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` characters; a longer text stands alone."""
     begin, total = 0, 0

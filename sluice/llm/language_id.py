@@ -14,7 +14,6 @@ Nulls and blanks: a null text or one without a letter is ``und`` with score 0.
 
 from __future__ import annotations
 
-import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,22 +31,6 @@ PER_LANG = 1500
 #: A code point takes 21 bits of an n-gram's code.
 BITS = 21
 
-_fold: np.ndarray | None = None
-
-
-def fold_table() -> np.ndarray:
-    """By code point: its lower case, or 0 where it is no letter."""
-    global _fold
-    if _fold is None:
-        table = np.zeros(0x110000, np.uint32)
-        for c in range(0x33480):
-            if unicodedata.category(ch := chr(c))[0] == "L" or unicodedata.category(ch) in ("Mn", "Mc"):
-                low = ch.lower()
-                table[c] = ord(low) if len(low) == 1 else c
-        _fold = table
-    return _fold
-
-
 def _grams(texts: list[str | None]):
     """For each text the codes of its n-grams, occurrence by occurrence.  Texts come in slices of bounded size.
 
@@ -56,7 +39,7 @@ def _grams(texts: list[str | None]):
     """
     for a, b in K.slices(texts, 400_000):
         _, codes, bounds = K.flat_codes(texts[a:b])
-        low = fold_table()[codes]
+        low = K.word_table(False)[codes]
         # each text on its own between spaces: a separator before every text and after the last
         padded = np.zeros(len(low) + b - a + 1, np.uint32)
         at = np.arange(len(low)) + np.repeat(np.arange(1, b - a + 1), np.diff(bounds))
