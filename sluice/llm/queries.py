@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import language_id, near_dedup, spot_signatures, token_files, warc_files
+from sluice.llm import language_id, line_dedup, near_dedup, pseudonyms, spot_signatures, token_files, warc_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": token_files.op2_token_files,
         "op4_warc_normaliser": warc_files.op4_warc_normaliser,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_language_id": language_id.op7_language_id,
         "op8_spot_signatures": spot_signatures.op8_spot_signatures,
         "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_pseudonyms": pseudonyms.op10_pseudonyms,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc_normaliser": warc_files.OP4_SQL,
+        "op6_line_dedup": line_dedup.OP6_SQL,
     }
