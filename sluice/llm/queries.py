@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import language_id, line_dedup, near_dedup, pseudonyms, spot_signatures, token_files, warc_files
+from sluice.llm import decontaminate, language_id, line_dedup, near_dedup, pseudonyms, spot_signatures, token_files, warc_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_warc_normaliser": warc_files.op4_warc_normaliser,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_language_id": language_id.op7_language_id,
