@@ -96,7 +96,8 @@ def _windows(words, template, at, size):
     """(text, first word, hash, plain words) of all windows of ``size`` words that lie within a text."""
     n = len(template) - size + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 4
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(K.U64), none
     lanes = K.lanes(size)
     total = template[:n] * lanes[0]
     for k in range(1, size):
