@@ -5,10 +5,10 @@ Banded MinHash puts classes into buckets.  The MinHash samples are folded into a
 XOR population count orders a class's candidates; a second parity bitmap, over the whole set, bounds the symmetric
 difference from below, so that it rejects without ever losing a pair.  Links are confirmed on full sets in exact integers.
 
-No bucket is expanded into all its pairs.  First every member meets one pivot per bucket and the best of its pivots is
+No bucket is expanded into all its pairs.  First every member meets one pivot per bucket, and three of its pivots are
 confirmed.  What a bucket still holds from different components is compared in blocks of bounded size, bitmap against
-bitmap, and only pairs that pass the lossless bound are emitted and confirmed.  So a bucket of any size is dealt out
-over tasks, and no candidate is capped.
+bitmap; of the pairs that pass the lossless bound, the likeliest for each member and component is emitted and confirmed,
+and then whatever still crosses components.  So a bucket of any size is dealt out over tasks, and no candidate is capped.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.8**5)**30 < 1e-5, less above it.
 
@@ -194,51 +194,73 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(roots)
 
 
-def _blocks(percent: int):
-    """Streams sorted (bk, i, j, side, ...) rows; in each block, pairs across sides and components that the bitmaps allow."""
+def _blocks(percent: int, best: bool):
+    """Streams sorted (bk, i, j, side, ...) rows; in each block, pairs across sides and components that the bitmaps allow.
 
-    def pairs(rows: list) -> tuple[list, list]:
+    With ``best``, for each row and component only the pair of the least bound.
+    """
+
+    def pairs(rows: list, out: list) -> None:
         left, right = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
         if not left or not right:
-            return [], []
-        out_a, out_b = [], []
+            return
         by: dict[int, list] = {}
         for r in right:
             by.setdefault(len(r[7]), []).append(r)
-        banks = {
-            size: (np.frombuffer(b"".join(r[7] for r in rs), np.uint64).reshape(len(rs), -1), *(np.array([r[k] for r in rs]) for k in (4, 5, 6)), np.array([r[8] for r in rs]))
-            for size, rs in by.items()
-        }
+        banks = [(np.frombuffer(b"".join(r[7] for r in rs), np.uint64).reshape(len(rs), -1), *(np.array([r[k] for r in rs]) for k in (4, 5, 6, 8))) for rs in by.values()]
         for r in left:
             mine = np.frombuffer(r[7], np.uint64)
-            for bits, ids, comps, ns, lone in banks.values():
+            for bits, ids, comps, ns, lone in banks:
                 words = min(len(mine), bits.shape[1])
                 them = bits if bits.shape[1] == words else np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
                 odd = np.bitwise_count(them ^ fold(mine, words)).sum(axis=1, dtype=np.int64)
                 # |S ^ T| >= odd, and the threshold allows |S ^ T| <= (100 - p)(|S| + |T|) / (100 + p)
-                ok = (odd * (100 + percent) <= (100 - percent) * (ns + r[6])) & (comps != r[5]) & (~lone | (ids > r[4]))
-                hit = ids[ok].tolist()
-                out_a += [r[4]] * len(hit)
-                out_b += hit
-        return out_a, out_b
+                over = odd * (100 + percent) - (100 - percent) * (ns + r[6])
+                hit = np.flatnonzero((over <= 0) & (comps != r[5]) & (~lone | (ids > r[4])))
+                if best and len(hit) > 1:
+                    hit = hit[np.lexsort((ids[hit], over[hit], comps[hit]))]
+                    hit = hit[np.unique(comps[hit], return_index=True)[1]]
+                out += [(r[4], x, c, o) for x, c, o in zip(ids[hit].tolist(), comps[hit].tolist(), over[hit].tolist(), strict=True)]
 
     def run(batches):
         key, held = None, []
+        names, kinds = ["a", "b", "cb", "bound"], pa.int64()
         for b in batches:
-            a, c = [], []
+            out: list = []
             for r in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 if r[:3] != key:
-                    for to, new in zip((a, c), pairs(held), strict=True):
-                        to += new
+                    pairs(held, out)
                     key, held = r[:3], []
                 held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-        a, c = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds) for k in range(4)], names)
+        out = []
+        pairs(held, out)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds) for k in range(4)], names)
 
     return run
 
 
+def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components and may reach the threshold.
+
+    With ``best``, for each a and component only its likeliest pair.  A bucket's members outside its main component meet
+    all its members, both dealt out over blocks of about BLOCK.
+    """
+    placed = members.join(comps, "id", "left").select("bk", "id", F.coalesce("comp", "id").alias("comp"))
+    tally = placed.groupBy("bk", "comp").agg(F.count("*").alias("c")).groupBy("bk").agg(F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).filter("most < size")
+    mixed = placed.join(tally, "bk").join(known.select("id", "n", "parity"), "id")
+    lone = (F.col("comp") != F.col("main")).alias("lone")
+    spread = F.xxhash64("id", "bk")
+    n_left, n_right = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
+    row = ["id", "comp", "n", "parity"]
+    left = mixed.filter(lone).select("bk", F.pmod(spread, n_left).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_right - 1)).alias("j"), F.lit(0).alias("side"), *row, lone)
+    right = mixed.select("bk", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), F.pmod(spread, n_right).alias("j"), F.lit(1).alias("side"), *row, lone)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.unionAll(right).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
+    found = dealt.mapInArrow(_blocks(percent, best), "a long, b long, cb long, bound long")
+    return found.groupBy("a", "cb").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b") if best else found.select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -262,26 +284,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mine, theirs = known.select("id", "n", "odd"), known.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("podd")[k])) for k in range(ODD_WORDS)))
     scored = star.join(mine, "id").join(theirs, "pivot").filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select("id", "pivot", apart.alias("apart"))
-    best = scored.groupBy("id").agg(F.min_by("pivot", F.struct("apart", "pivot")).alias("pivot"))
-    edges = scratch.materialize(_verify(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), sets, percent), "edges")
+    best = scored.groupBy("id").agg(F.min(F.struct("apart", "pivot")).alias("x"), F.max(F.struct("apart", "pivot")).alias("y"), F.min_by("pivot", F.xxhash64("id", "pivot")).alias("z"))
+    best = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x.pivot", "z", "y.pivot"))).alias("b"))
+    edges = scratch.materialize(_verify(best, sets, percent), "edges")
     comps = components(edges)
-
-    # what a bucket holds from different components
-    placed = members.join(comps, "id", "left").select("bk", "id", F.coalesce("comp", "id").alias("comp"))
-    tally = placed.groupBy("bk", "comp").agg(F.count("*").alias("c")).groupBy("bk").agg(F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).filter("most < size")
-    mixed = placed.join(tally, "bk").join(known.select("id", "n", "parity"), "id")
-    lone = (F.col("comp") != F.col("main")).alias("lone")
-    spread = F.xxhash64("id", "bk")
-    n_left, n_right = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
-    row = ["id", "comp", "n", "parity"]
-    left = mixed.filter(lone).select("bk", F.pmod(spread, n_left).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_right - 1)).alias("j"), F.lit(0).alias("side"), *row, lone)
-    right = mixed.select("bk", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), F.pmod(spread, n_right).alias("j"), F.lit(1).alias("side"), *row, lone)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.unionAll(right).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
-    more = scratch.materialize(dealt.mapInArrow(_blocks(percent), "a long, b long").distinct(), "crossing")
-    if not more.isEmpty():
-        crossing = scratch.materialize(_verify(more, sets, percent), "edges")
-        comps = components(edges.unionAll(crossing))
+    # what a bucket still holds from different components: the likeliest links first, then all that are left
+    for only in (True, False):
+        more = scratch.materialize(_verify(_crossing(members, comps, known, percent, only), sets, percent), "edges")
+        if more.isEmpty():
+            break
+        edges = edges.unionAll(more)
+        comps = components(edges)
 
     out = feats.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").join(comps, F.col("rep") == F.col("id"), "left")
     comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
