@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, language_id, line_dedup, near_dedup, pseudonyms, spot_signatures, token_files, warc_files
+from sluice.llm import decontaminate, language_id, line_dedup, near_dedup, pseudonyms, sentence_pieces, spot_signatures, token_files, warc_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": token_files.op2_token_files,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_warc_normaliser": warc_files.op4_warc_normaliser,
+        "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_language_id": language_id.op7_language_id,
         "op8_spot_signatures": spot_signatures.op8_spot_signatures,
