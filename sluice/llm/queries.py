@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, language_id, line_dedup, near_dedup, pseudonyms, sentence_pieces, spot_signatures, token_files, warc_files
+from sluice.llm import chat_trees, decontaminate, language_id, line_dedup, near_dedup, pseudonyms, sentence_pieces, spot_signatures, token_files, warc_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_trees": chat_trees.op1_chat_trees,
         "op2_token_files": token_files.op2_token_files,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_warc_normaliser": warc_files.op4_warc_normaliser,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat_trees": chat_trees.OP1_SQL,
         "op4_warc_normaliser": warc_files.OP4_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
     }
