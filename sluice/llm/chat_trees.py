@@ -213,7 +213,7 @@ def op1_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return read(build(rows.unionByName(probe), path), path)
+    return read(build(scratch.union(rows, probe), path), path)
 
 
 _SQL_ESCAPE = r"regexp_replace({}, '(<|\[)(\\*)(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g')"

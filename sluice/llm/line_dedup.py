@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.scratch import union
+
 MIN_SITES = 10
 MIN_WORDS = 4
 #: log2 of the sketch's registers; its relative standard error is about 1.04 / sqrt(2**LG_K).
@@ -45,7 +47,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = M
     far = sketched.filter(F.col("sites") > min_sites + slack).select("h")
     near = sketched.filter(F.col("sites").between(min_sites - slack, min_sites + slack)).select("h")
     exact = at.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("source").alias("sites")).filter(F.col("sites") >= min_sites).select("h")
-    return possible.select("h", "first_doc").join(far.unionAll(exact), "h", "left_semi")
+    return possible.select("h", "first_doc").join(union(far, exact), "h", "left_semi")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:

@@ -180,18 +180,18 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     before = None
     while True:
-        sym = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sym = scratch.union(e, e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = scratch.materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        e = scratch.materialize(scratch.union(small, low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(20,0)"))).first())
         if now == before:
             break
         before = now
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("comp"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(roots)
+    return scratch.union(e.select(F.col("u").alias("id"), F.col("v").alias("comp")), roots)
 
 
 def _blocks(percent: int, best: bool):
@@ -256,7 +256,7 @@ def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, percent: i
     left = mixed.filter(lone).select("bk", F.pmod(spread, n_left).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_right - 1)).alias("j"), F.lit(0).alias("side"), *row, lone)
     right = mixed.select("bk", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), F.pmod(spread, n_right).alias("j"), F.lit(1).alias("side"), *row, lone)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.unionAll(right).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
+    dealt = scratch.union(left, right).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
     found = dealt.mapInArrow(_blocks(percent, best), "a long, b long, cb long, bound long")
     return found.groupBy("a", "cb").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b") if best else found.select("a", "b").distinct()
 
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         more = scratch.materialize(_verify(_crossing(members, comps, known, percent, only), sets, percent), "edges")
         if more.isEmpty():
             break
-        edges = edges.unionAll(more)
+        edges = scratch.union(edges, more)
         comps = components(edges)
 
     out = feats.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").join(comps, F.col("rep") == F.col("id"), "left")

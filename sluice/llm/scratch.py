@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def union(*frames: DataFrame) -> DataFrame:
+    """UNION ALL by position.
+
+    Spark 4.1 takes a union's rows as partitioned if its inputs' are, though adaptive execution may have coalesced the
+    inputs differently; an aggregate or join above then splits keys.  That setting is switched off for the session.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(DataFrame.unionAll, frames)
+
+
 def drop_dir(spark: SparkSession, uri: str) -> None:
     """Remove a folder of ours."""
     jvm = spark.sparkContext._jvm
