@@ -8,7 +8,6 @@ stateless verbs are the same and the stateful ones become keyed processors (slui
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce as fold
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sluice.functions.ordering import order_key, ordered
-from sluice.operators.weights import MULT, consolidate, negate, values, weighted
+from sluice.operators.weights import MULT, consolidate, negate, union, values, weighted
 
 
 class Flow:
@@ -75,7 +74,7 @@ class Flow:
         flows = [self, *others]
         plain = all(f.insert_only for f in flows)
         frames = [f.df if plain else weighted(f.df) for f in flows]
-        return self._with(fold(DataFrame.unionByName, frames), any(f.stateful for f in flows))
+        return self._with(union(frames), any(f.stateful for f in flows))
 
     def inspect(self, name: str, *metrics: Column) -> Flow:
         """Observes the rows as they are, before consolidation; metrics arrive at the session's listeners."""

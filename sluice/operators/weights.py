@@ -6,6 +6,9 @@ numbers take rows away.  Flows leave the column out as long as they only insert.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,17 @@ def weighted(df: DataFrame) -> DataFrame:
     return df if MULT in df.columns else df.withColumn(MULT, F.lit(1).cast("long"))
 
 
+def union(frames: Iterable[DataFrame]) -> DataFrame:
+    """The multiset sum, by name.
+
+    Spark 4.1 takes a union's rows as partitioned if its inputs' are, though adaptive execution may have coalesced the
+    inputs differently; an aggregate above then splits keys.  That setting is switched off for the session.
+    """
+    frames = list(frames)
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(DataFrame.unionByName, frames)
+
+
 def negate(df: DataFrame) -> DataFrame:
     return weighted(df).withColumn(MULT, -F.col(MULT))
 

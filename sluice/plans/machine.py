@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators import MULT, Flow, consolidate, negate, weighted
+from sluice.operators import MULT, Flow, consolidate, negate, union, weighted
 
 
 class Machine:
@@ -26,7 +26,7 @@ class Machine:
 
     def feed(self, rows: DataFrame) -> Machine:
         """Adds rows (with MULT or not) to the next step's batch."""
-        self.batch = weighted(rows) if self.batch is None else self.batch.unionByName(weighted(rows))
+        self.batch = weighted(rows) if self.batch is None else union([self.batch, weighted(rows)])
         return self
 
     def needs_state(self, sample: DataFrame) -> bool:
@@ -38,7 +38,7 @@ class Machine:
         if self.batch is None:
             raise ValueError("nothing was fed")
         batch, before = self.batch, self.before
-        after = batch if before is None else before.unionByName(batch)
+        after = batch if before is None else union([before, batch])
         self.before, self.batch, self.time = after, None, self.time + 1
         if self.keys:
             touched = batch.select(*self.keys).distinct()
@@ -46,7 +46,7 @@ class Machine:
             before = before.join(touched, self.keys, "left_semi") if before is not None else None
         now = weighted(self.query(Flow(after)).df)
         if before is not None:
-            now = now.unionByName(negate(self.query(Flow(before)).df))
+            now = union([now, negate(self.query(Flow(before)).df)])
         return consolidate(now)
 
     def steps(self, rows: DataFrame, step: str, n: int) -> DataFrame:
@@ -54,7 +54,7 @@ class Machine:
         out = None
         for k in range(n):
             deltas = self.feed(rows.filter(F.col(step) == k).drop(step)).drain()
-            out = deltas if out is None else out.unionByName(deltas)
+            out = deltas if out is None else union([out, deltas])
         return out
 
 

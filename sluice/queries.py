@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators import MULT, Flow, consolidate, expand, negate, weighted
+from sluice.operators import MULT, Flow, consolidate, expand, negate, union, weighted
 from sluice.plans import Machine
 from sluice.plans.examples import latest_status, paired, production_summary
 from sluice.sources import looked_back, route
@@ -322,7 +322,7 @@ def _(t):
 )
 def _(t):
     removed = negate(weighted(t("supplier").map(F.col("s_nationkey").alias("k")).df)).withColumn(MULT, F.col(MULT) * 15)
-    total = consolidate(weighted(t("customer").map(F.col("c_nationkey").alias("k")).df).unionByName(removed)).filter(F.col(MULT) > 0)
+    total = consolidate(union([weighted(t("customer").map(F.col("c_nationkey").alias("k")).df), removed])).filter(F.col(MULT) > 0)
     return total.select("k", F.explode(F.sequence(F.lit(1).cast("bigint"), MULT)).alias("copy"))
 
 

@@ -14,7 +14,7 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators import MULT, Flow, consolidate, negate, weighted
+from sluice.operators import MULT, Flow, consolidate, negate, union, weighted
 from sluice.sinks import SqlSink
 from sluice.sources import between, decode, looked_back, offsets, stream_log
 
@@ -47,7 +47,7 @@ def catch_up(events: DataFrame, record: Column, queries: dict[str, Callable[[Flo
             after = query(Flow(looked_back(between(good, None, now), after.look_back)))
         change = weighted(after.df)
         if known:
-            change = change.unionByName(negate(query(Flow(between(good, None, known))).df))
+            change = union([change, negate(query(Flow(between(good, None, known))).df)])
         spec = next(t for t in sink.tables.tables if t.name == name)
         deltas[name] = _rows(consolidate(change), spec.written)
     sink.apply(now, deltas)
