@@ -17,7 +17,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from sluice.functions.ordering import order_key
 from sluice.operators.flow import Flow, Grouped
-from sluice.operators.weights import MULT, weighted
+from sluice.operators.weights import MULT, union, weighted
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ELEMENT = StructType([StructField("v", BinaryType())])
@@ -222,7 +222,7 @@ def joined(left: Grouped, right: Grouped) -> Flow:
                 cols.append((F.col(own[i]) if t == s else F.lit(None).cast(f.dataType)).alias(f"{prefix}{i}"))
         sides.append(df.select(*keys, *cols, MULT))
     schema = _schema([*(a.schema[k] for k in keys), *fields[0], *fields[1]])
-    return Flow(_run(sides[0].unionByName(sides[1]), keys, Join(keys, av, bv), schema), True, left.flow.look_back)
+    return Flow(_run(union(sides), keys, Join(keys, av, bv), schema), True, left.flow.look_back)
 
 
 __all__ = ["STATE_STORE", "Join", "MonotonicMax", "Reduce", "Representative", "StringType", "joined", "monotonic_max", "reduced", "representative", "use_rocksdb"]
