@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         comps = components(edges)
 
     out = feats.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").join(comps, F.col("rep") == F.col("id"), "left")
-    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
+    comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
