@@ -33,6 +33,8 @@ ANCHORS = (
     " der die das und von zu mit den dem ein eine einer ist nicht sich auf für als auch im es des"
     " el los las y del que en un una por con para se su al lo no más como"
 ).split()
+#: Buckets for each shuffle partition; several small ones even out what a partition's hash brings together.
+BUCKETS = 8
 #: Ranges that doc_ids are counted in before they are dealt out.
 CELLS = 1 << 14
 
@@ -148,7 +150,7 @@ def neighbours(docs: DataFrame, run, schema: str) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, ends = _buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts)
+    dealt, ends = _buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BUCKETS * parts)
     guests = [(high, ends[k + 1][0] if k + 1 < len(ends) else ends[0][0]) for k, (_, _, high) in enumerate(ends)]
     known = spark.createDataFrame(guests, "key long, visits int")  # a row for each bucket
     dealt = dealt.join(F.broadcast(known), "key", "left")
