@@ -136,28 +136,47 @@ def gather_ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class SegmentStore:
-    """Per-worker memo: segment hash -> a run of integers (token ids).  Starts afresh beyond ``most`` segments."""
+    """Per-worker memo: segment hash -> a run of integers (token ids).
 
-    def __init__(self, dtype: type, most: int = 1_000_000):
+    Hashes lie in a sorted array, the latest in a dict that is merged in from time to time; 32 bytes a segment and its
+    integers.  trim() starts afresh beyond ``most`` segments.
+    """
+
+    RECENT = 1 << 17
+
+    def __init__(self, dtype: type, most: int = 3_000_000):
         self.dtype, self.most = dtype, most
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.recent: dict[int, int] = {}
+        self.count = 0
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        if len(self.index) > self.most:
+    def trim(self) -> None:
+        if self.count > self.most:
             self.clear()
-        get = self.index.get
-        return np.fromiter((get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash's run, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            known = self.keys[at] == hashes
+            out[known] = self.places[at[known]]
+        if self.recent:
+            left = np.flatnonzero(out < 0)
+            get = self.recent.get
+            out[left] = np.fromiter((get(h, -1) for h in hashes[left].tolist()), np.int64, len(left))
+        return out
 
     def add(self, hashes: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Append runs (concatenated in flat); gives their places."""
-        n, k = len(self.index), len(hashes)
+        n, k = self.count, len(hashes)
         while n + k > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
@@ -167,5 +186,11 @@ class SegmentStore:
         self.start[n : n + k] = self.used + np.cumsum(lens) - lens
         self.size[n : n + k] = lens
         self.used += len(flat)
-        self.index.update(zip(hashes.tolist(), range(n, n + k), strict=True))
+        self.count += k
+        self.recent.update(zip(hashes.tolist(), range(n, n + k), strict=True))
+        if len(self.recent) > self.RECENT:
+            keys = np.concatenate([self.keys, np.fromiter(self.recent, U64, len(self.recent))])
+            places = np.concatenate([self.places, np.fromiter(self.recent.values(), np.int64, len(self.recent))])
+            order = np.argsort(keys)
+            self.keys, self.places, self.recent = keys[order], places[order], {}
         return np.arange(n, n + k)

@@ -212,16 +212,14 @@ class Model:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        if len(self.store.index) > self.store.most:
-            self.store.clear()
+        self.store.trim()
         parts, new = [], {}
         for a, b in K.slices(texts):
             joined, codes, bounds, starts, ends = self._cut(texts[a:b])
             classes, hashes, first = K.distinct(K.segment_hashes(codes, starts, ends))
-            have = self.store.index
-            for k, h in enumerate(hashes.tolist()):
-                if h not in have and h not in new:
-                    f = first[k]
+            lacking = np.flatnonzero(self.store.find(hashes) < 0)
+            for h, f in zip(hashes[lacking].tolist(), first[lacking].tolist(), strict=True):
+                if h not in new:
                     new[h] = joined[starts[f] : ends[f]]
             parts.append((classes, hashes, np.searchsorted(starts, bounds)))
         keys, chunks = list(new), list(new.values())
@@ -229,7 +227,7 @@ class Model:
             flat, lens = self.encode_chunks(chunks[a:b])
             self.store.add(np.array(keys[a:b], np.uint64), flat, lens)
         for classes, hashes, at in parts:
-            where = np.fromiter(map(self.store.index.__getitem__, hashes.tolist()), np.int64, len(hashes))[classes]
+            where = self.store.find(hashes)[classes]
             lens = self.store.size[where]
             flat = self.store.flat[K.gather_ranges(self.store.start[where], lens)]
             ends = np.concatenate([[0], np.cumsum(lens)])[at]

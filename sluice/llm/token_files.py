@@ -169,10 +169,41 @@ class Encoder:
         self.store = K.SegmentStore(self.dtype)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         for a, b in K.slices(texts):
-            yield from self._slice(texts[a:b])
-
-    def _slice(self, texts: list[str | None]) -> list[np.ndarray]:
+            part = texts[a:b]
+            classes, at, starts, bounds = self._segments(part)
+            each = at[classes]
+            lens = self.store.size[each]
+            flat = self.store.flat[K.gather_ranges(self.store.start[each], lens)]
+            ends = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(starts, bounds)]
+            out = [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            for k in self._special(part):
+                out[k] = self._whole(part[k])
+            yield from out
+
+    def count(self, texts: list[str | None], total: np.ndarray) -> None:
+        """Adds to total how often each id occurs in the texts; ids are looked up once for each distinct pre-token."""
+        for a, b in K.slices(texts):
+            part = texts[a:b]
+            for k in self._special(part):
+                np.add.at(total, self._whole(part[k]), 1)
+                part[k] = None
+            classes, at, _, _ = self._segments(part)
+            lens = self.store.size[at]
+            flat = self.store.flat[K.gather_ranges(self.store.start[at], lens)]
+            times = np.repeat(np.bincount(classes, minlength=len(at)), lens)
+            total += np.bincount(flat, weights=times, minlength=len(total)).astype(np.int64)
+
+    def _special(self, texts: list[str | None]) -> list[int]:
+        return [k for k, t in enumerate(texts) if t and any(x in t for x in self.added)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each pre-token its class, for each class its place in the memo; the pre-tokens' starts, the texts' bounds."""
+        self.store.trim()
         joined, codes, bounds = K.flat_codes(texts)
         starts, ends = cut(codes, bounds)
         classes, hashes, first = K.distinct(K.segment_hashes(codes, starts, ends))
@@ -185,15 +216,7 @@ class Encoder:
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for i in ids for x in i), self.dtype, int(lens.sum()))
             at[lacking] = self.store.add(hashes[lacking], flat, lens)
-        each = at[classes]
-        lens = self.store.size[each]
-        flat = self.store.flat[K.gather_ranges(self.store.start[each], lens)]
-        ends_of = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(starts, bounds)]
-        out = [flat[i:j] for i, j in zip(ends_of[:-1], ends_of[1:], strict=True)]
-        for k, t in enumerate(texts):
-            if t and any(x in t for x in self.added):
-                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype)
-        return out
+        return classes, at, starts, bounds
 
 
 _encoders: dict[str, Encoder] = {}
@@ -214,10 +237,7 @@ def frequencies(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
         size = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         total = np.zeros(size, np.int64)
         for b in batches:
-            for ids in enc.encode(b.column(0).to_pylist()):
-                total += np.bincount(ids, minlength=size) if len(ids) > size // 8 else 0
-                if len(ids) <= size // 8:
-                    np.add.at(total, ids, 1)
+            enc.count(b.column(0).to_pylist(), total)
             total[end_id] += b.num_rows
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
