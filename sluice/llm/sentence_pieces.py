@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.llm import kernels as K
 
 SPACE = 0x2581
-#: Characters of new chunks under one suffix array.
-MATCH_CHARS = 2_000_000
+#: Characters of texts whose new chunks are gathered, and of new chunks under one suffix array.
+BATCH_CHARS, MATCH_CHARS = 3_000_000, 300_000
 
 
 class Model:
@@ -130,17 +130,17 @@ class Model:
         tail = self.char[codes]
         tail[codes == 0] = 1
         depth = int(lens.max())
-        r = np.concatenate([text, [1], tail, np.zeros(2 * depth, np.int32)]).astype(np.int64)
+        r = np.concatenate([text, np.ones(1, np.int32), tail, np.zeros(2 * depth, np.int32)])
         home = len(text) + 1 + np.cumsum(lens + 1) - lens - 1
         ranks, step = {1: r}, 1
         while step < depth:
-            key = r.copy()
+            key = r.astype(np.int64)
             key *= int(r.max()) + 1
             key[:-step] += r[step:]
-            r = np.unique(key, return_inverse=True)[1]
+            r = np.unique(key, return_inverse=True)[1].astype(np.int32)
             step *= 2
             ranks[step] = r
-        array = np.argsort(r, kind="stable")
+        array = np.argsort(r, kind="stable").astype(np.int32)
         array = array[array < len(text)]
         found_at, found = [], []
         for n in np.unique(lens).tolist():
@@ -148,11 +148,11 @@ class Model:
             rank = ranks[p]
             wide = int(rank.max()) + 1
             mine = np.flatnonzero(lens == n)
-            keys = rank[home[mine]] * wide + rank[home[mine] + n - p]
-            at = rank[array] * wide + rank[array + n - p]
+            keys = rank[home[mine]].astype(np.int64) * wide + rank[home[mine] + n - p]
+            at = rank[array].astype(np.int64) * wide + rank[array + n - p]
             low, high = np.searchsorted(at, keys, "left"), np.searchsorted(at, keys, "right")
             found_at.append(array[K.gather_ranges(low, high - low)])
-            found.append(np.repeat(self.matched[mine], high - low))
+            found.append(np.repeat(self.matched[mine].astype(np.int32), high - low))
         return np.concatenate(found_at), np.concatenate(found)
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ class Model:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         start = np.cumsum(sizes + 1) - sizes - 1
         position, piece = self.match(text)
-        within = position - start[np.searchsorted(start, position, "right") - 1]
+        within = position - start.astype(np.int32)[np.searchsorted(start, position, "right") - 1]
         order = np.argsort(within, kind="stable")
         position, piece, within = position[order], piece[order], within[order]
         last = np.full(len(text) + 2, -1, np.int64)
@@ -212,6 +212,10 @@ class Model:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        for a, b in K.slices(texts, BATCH_CHARS):
+            yield from self._encode(texts[a:b])
+
+    def _encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         self.store.trim()
         parts, new = [], {}
         for a, b in K.slices(texts):
