@@ -1,13 +1,12 @@
 """Cross-site boilerplate lines: lines that stand on many distinct sites go, but for their first occurrence.
 
 A line is its text between line feeds without spaces at either end; it counts if it has at least ``min_words`` words.
-Its spread is the number of distinct sites (``source``) that it stands on.  Lines that could reach ``min_sites`` at all
-(enough occurrences, more than one site) get a HyperLogLog sketch of their sites, merged by aggregation.  Where the
-estimate lies near the threshold the distinct sites are counted exactly; elsewhere the estimate decides.  A line of at
-least min_sites sites is taken out of every document but the one of the smallest doc_id, where its first occurrence
-stays.  DataFrame functions only.
+Its spread is the number of distinct sites (``source``) that it stands on.  Every line hash gets a HyperLogLog sketch of
+its sites, merged by aggregation, which starts before the shuffle.  Where the estimate lies near the threshold the
+distinct sites are counted exactly; elsewhere the estimate decides.  A line of at least min_sites sites is taken out of
+every document but the one of the smallest doc_id, where its first occurrence stays.  DataFrame functions only.
 
-One shuffle of line hashes, small ones of candidates, and one of the texts, which get their lists of lines to drop.
+One shuffle of line hashes, small ones of candidates, and one of the texts, which get the places of lines to drop.
 
 Nulls: a null text stays null; a null source is no site; a null doc_id never holds the first occurrence, so rows
 without one lose such lines.  Rows of equal doc_id are treated alike, each by itself.  Empty texts and tables stay.
@@ -33,42 +32,45 @@ def line_hash(line: Column, min_words: int) -> Column:
     return F.when(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) >= min_words - 1, F.xxhash64(bare))
 
 
+def _lines(docs: DataFrame, min_words: int, *columns: str | Column) -> DataFrame:
+    """The given columns, i (the line's place) and h of every line that counts."""
+    lines = docs.select(*columns, F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.withColumn("line", line_hash(F.col("line"), min_words)).withColumnRenamed("line", "h").filter("h is not null")
+
+
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
     """(h, first_doc) of lines on at least min_sites distinct sites."""
-    lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "source", line_hash(F.col("line"), min_words).alias("h")).filter("h is not null")
-    site = F.xxhash64("source")
-    known = F.when(F.col("source").isNotNull(), site)
-    # the hash first: occurrences and the extremes of the site hashes combine before the shuffle
-    possible = lines.groupBy("h").agg(F.count("source").alias("n"), F.min(known).alias("low"), F.max(known).alias("high"), F.min("doc_id").alias("first_doc"))
-    possible = possible.filter((F.col("n") >= min_sites) & ((F.col("low") != F.col("high")) | (F.lit(min_sites) <= 1)))
-    at = lines.select("h", "source").join(possible.select("h"), "h", "left_semi")
-    sketched = at.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(lg_k))).alias("sites"))
+    lines = _lines(docs, min_words, "doc_id", "source")
+    site = F.when(F.col("source").isNotNull(), F.xxhash64("source"))
+    # sketches, occurrences and the extremes of the site hashes combine before the shuffle
+    spread = lines.groupBy("h").agg(
+        F.count("source").alias("n"), F.min(site).alias("low"), F.max(site).alias("high"), F.min("doc_id").alias("first_doc"), F.hll_sketch_agg("source", F.lit(lg_k)).alias("sketch")
+    )
+    spread = spread.filter((F.col("n") >= min_sites) & ((F.col("low") != F.col("high")) | (F.lit(min_sites) <= 1)))
+    spread = spread.select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
     slack = max(1, round(0.25 * min_sites))
-    far = sketched.filter(F.col("sites") > min_sites + slack).select("h")
-    near = sketched.filter(F.col("sites").between(min_sites - slack, min_sites + slack)).select("h")
-    exact = at.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("source").alias("sites")).filter(F.col("sites") >= min_sites).select("h")
-    return possible.select("h", "first_doc").join(union(far, exact), "h", "left_semi")
+    far = spread.filter(F.col("sites") > min_sites + slack).select("h", "first_doc")
+    near = spread.filter(F.col("sites").between(min_sites - slack, min_sites + slack)).select("h", "first_doc")
+    exact = lines.select("h", "source").join(near, "h").distinct().groupBy("h", "first_doc").agg(F.count("source").alias("sites")).filter(F.col("sites") >= min_sites)
+    return union(far, exact.select("h", "first_doc"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
     """docs with text without the boilerplate and removed_lines added (a column of that name is replaced)."""
     docs = docs.drop("removed_lines")
     flagged = spread_lines(docs, min_sites, min_words, lg_k)
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", line_hash(F.col("line"), min_words).alias("h")).filter("h is not null").distinct()
-    here = F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("doc_id").isNotNull()
-    held = lines.join(flagged, "h").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.when(~here, F.col("h"))).alias("_drop"), F.collect_set(F.when(here, F.col("h"))).alias("_once"))
-    cut = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    split = F.split("text", "\n")
-    cut = cut.withColumn("_h", F.when(F.col("_drop").isNotNull(), F.transform(split, lambda x: line_hash(x, min_words))))
-    keep = F.transform(
-        "_h",
-        lambda h, i: h.isNull() | ~(F.array_contains("_drop", F.coalesce(h, F.lit(0))) | (F.array_contains("_once", F.coalesce(h, F.lit(0))) & (F.array_position("_h", F.coalesce(h, F.lit(0))) != i + 1))),
-    )
-    cut = cut.withColumn("_keep", keep)
-    left = F.filter(split, lambda x, i: F.col("_keep")[i])
-    text = F.when(F.col("_h").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
-    gone = F.coalesce(F.size(F.filter("_keep", lambda k: ~k)), F.lit(0)).cast("long").alias("removed_lines")
-    return cut.select(*(text if c == "text" else F.col(c) for c in docs.columns), F.when(F.col("_keep").isNull(), F.lit(0).cast("long")).otherwise(gone).alias("removed_lines"))
+    # a text's hash tells rows of equal doc_id apart
+    version = F.xxhash64("text").alias("_version")
+    held = _lines(docs, min_words, F.col("doc_id").alias("_doc"), version).join(flagged, "h")
+    held = held.groupBy("_doc", "_version", "h").agg(F.collect_list("i").alias("at"), F.first("first_doc").alias("first_doc"))
+    gone = F.when(F.col("_doc") == F.col("first_doc"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
+    held = held.groupBy("_doc", "_version").agg(F.flatten(F.collect_list(gone)).alias("_gone"))
+    cut = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left")
+    # the parts are bound once, as an argument of the outer transform
+    rest = lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n")
+    some = F.size("_gone") > 0
+    text = F.when(some, F.get(F.transform(F.array(F.split("text", "\n")), rest), F.lit(0))).otherwise(F.col("text")).alias("text")
+    return cut.select(*(text if c == "text" else F.col(c) for c in docs.columns), F.when(some, F.size("_gone")).otherwise(0).cast("long").alias("removed_lines"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
