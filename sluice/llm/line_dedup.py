@@ -51,7 +51,8 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = M
     slack = max(1, round(0.25 * min_sites))
     far = spread.filter(F.col("sites") > min_sites + slack).select("h", "first_doc")
     near = spread.filter(F.col("sites").between(min_sites - slack, min_sites + slack)).select("h", "first_doc")
-    exact = lines.select("h", "source").join(near, "h").distinct().groupBy("h", "first_doc").agg(F.count("source").alias("sites")).filter(F.col("sites") >= min_sites)
+    # distinct first, so that a frequent line doesn't meet its candidates in one task
+    exact = lines.select("h", "source").distinct().join(near, "h").groupBy("h", "first_doc").agg(F.count("source").alias("sites")).filter(F.col("sites") >= min_sites)
     return union(far, exact.select("h", "first_doc"))
 
 
