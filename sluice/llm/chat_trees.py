@@ -149,12 +149,13 @@ def build(rows: DataFrame, path: str) -> DataFrame:
     digest = F.unhex(F.substring(F.sha2(F.concat_ws("\x00", F.coalesce("role", F.lit("")), "text"), 256), 1, 32))
     rows = rows.withColumn("h", digest)
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    keys = rows.select("conv_id", "h", "turn", "role", "text").repartition(parts, "conv_id").sortWithinPartitions("conv_id", *order).select("conv_id", "h").mapInArrow(_keys, "conv_id long, key binary")
+    hashes = rows.select("conv_id", "h", "turn", "role", "text").repartition(parts, "conv_id").sortWithinPartitions("conv_id", *order).select("conv_id", "h")
+    keys = scratch.map_arrow(hashes, _keys, "conv_id long, key binary")
     placed = keys.repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
     placed = scratch.materialize(placed.select("conv_id", F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("place")), "places")
     joined = rows.alias("r").join(placed.alias("p"), F.expr("r.conv_id <=> p.conv_id")).select("p.shard", "p.place", "r.conv_id", "r.turn", "r.role", "r.text", "r.h")
     dealt = joined.repartition(parts, "shard").sortWithinPartitions("shard", "place", *order).select("shard", "place", "conv_id", "h", "role", "text")
-    return scratch.materialize(dealt.mapInArrow(_emit(path), TREE), "trees")
+    return scratch.materialize(scratch.map_arrow(dealt, _emit(path), TREE), "trees")
 
 
 SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -200,7 +201,7 @@ def read(tree: DataFrame, path: str) -> DataFrame:
     """What each conversation says, decoded from its path through the tree."""
     parts = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = tree.select("shard", "seq", "conv_id", "depth", "node", "parent", "tokens", "body", "body_end", "loss")
-    return rows.repartition(parts, "shard").sortWithinPartitions("shard", "seq").mapInArrow(_read(path), SCHEMA)
+    return scratch.map_arrow(rows.repartition(parts, "shard").sortWithinPartitions("shard", "seq"), _read(path), SCHEMA)
 
 
 PROBE = "</s>[INST] ok [/INST]"

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import kernels as K
+from sluice.llm import scratch
 
 WINDOW, RUN, SHORTEST = 8, 13, 4
 BITMAP_BITS = 1 << 23
@@ -148,7 +149,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, covered, item_words): each leak of an item (item_id, text) into a document (doc_id, text)."""
     spark = docs.sparkSession
     items = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text").dropDuplicates(["id"])
-    index = items.mapInArrow(_of_items, SCHEMA).distinct()
+    index = scratch.map_arrow(items, _of_items, SCHEMA).distinct()
     # BITMAP_BITS / 32 rows at most
     cells = index.groupBy(F.expr(f"cast(pmod(h, {BITMAP_BITS}) div 32 as int) as cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 32) as int))")).alias("bits")).collect()
     sizes = sorted(r.size for r in index.select("size").distinct().collect())  # WINDOW values at most
@@ -171,7 +172,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         if hit.any():
                             yield _rows(ids[i:j], np.full(int(hit.sum()), size), text[hit], first[hit], h[hit], template, words, at)
 
-    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_docs, SCHEMA)
+    found = scratch.map_arrow(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of_docs, SCHEMA)
     found = found.select(F.col("id").alias("doc_id"), F.col("p").alias("dp"), "h", "size", F.col("vals").alias("dvals")).distinct()
     met = found.join(index.select(F.col("id").alias("item_id"), "p", "h", "size", "words", "vals"), ["h", "size"])
     slots = F.filter(F.zip_with("vals", "dvals", lambda v, d: F.struct(v.alias("v"), d.alias("d"))), lambda x: x["v"] != 0)

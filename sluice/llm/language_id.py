@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.llm import kernels as K
+from sluice.llm import scratch
 
 #: N-grams in a profile.
 TOP = 300
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, top: int = TOP) -> Profiles:
         for lang, to in held.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(to), "gram": list(to), "n": list(to.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]))
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = scratch.map_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).collect()
     grams = {k: [x.gram for x in sorted((x for x in best if x.lang == k), key=lambda x: x.r)] for k in sorted({x.lang for x in best})}
@@ -187,7 +188,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kind}, lang_pred string, score double")
+    return scratch.map_arrow(docs, run, f"{kind}, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,7 +169,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the threshold."""
     one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
+    return scratch.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), _linked(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,20 +222,22 @@ def _blocks(percent: int, best: bool):
                     hit = hit[np.unique(comps[hit], return_index=True)[1]]
                 out += [(r[4], x, c, o) for x, c, o in zip(ids[hit].tolist(), comps[hit].tolist(), over[hit].tolist(), strict=True)]
 
+    def written(out: list):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["a", "b", "cb", "bound"])
+
     def run(batches):
-        key, held = None, []
-        names, kinds = ["a", "b", "cb", "bound"], pa.int64()
+        key, held, out = None, [], []
         for b in batches:
-            out: list = []
             for r in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 if r[:3] != key:
                     pairs(held, out)
                     key, held = r[:3], []
+                    if len(out) > BLOCK * BLOCK:
+                        yield written(out)
+                        out = []
                 held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds) for k in range(4)], names)
-        out = []
         pairs(held, out)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds) for k in range(4)], names)
+        yield written(out)
 
     return run
 
@@ -257,14 +259,14 @@ def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, percent: i
     right = mixed.select("bk", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), F.pmod(spread, n_right).alias("j"), F.lit(1).alias("side"), *row, lone)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = scratch.union(left, right).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
-    found = dealt.mapInArrow(_blocks(percent, best), "a long, b long, cb long, bound long")
+    found = scratch.map_arrow(dealt, _blocks(percent, best), "a long, b long, cb long, bound long")
     return found.groupBy("a", "cb").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b") if best else found.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = scratch.materialize(docs.mapInArrow(_features(width), FEATURES), "features")
+    feats = scratch.materialize(scratch.map_arrow(docs, _features(width), FEATURES), "features")
     classes = feats.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
 
     bands = feats.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bk")).distinct()
@@ -276,7 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         feats.filter("n > 0").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "odd", "parity").dropDuplicates(["id"]),
         "known",
     )
-    sets = scratch.materialize(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(width), "id long, s binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.materialize(scratch.map_arrow(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), _sets(width), "id long, s binary").dropDuplicates(["id"]), "sets")
 
     # each member and the best of its buckets' pivots
     pivots = members.groupBy("bk").agg(F.min_by("id", F.xxhash64("bk", "id")).alias("pivot"))

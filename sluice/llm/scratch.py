@@ -15,6 +15,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Bytes in an Arrow batch, about.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow over batches of about BATCH_BYTES, however long the rows are (a longer row stands alone).
+
+    Spark counts rows only by default; the limit is set for the session, as it is read when the plan is made.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def union(*frames: DataFrame) -> DataFrame:
     """UNION ALL by position.
 

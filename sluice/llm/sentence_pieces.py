@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import kernels as K
+from sluice.llm import scratch
 
 SPACE = 0x2581
 #: Characters of texts whose new chunks are gathered, and of new chunks under one suffix array.
@@ -291,7 +292,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: bool = False) -
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, *added])
 
     kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{k} {v}" for k, v in added.items()])
-    return docs.mapInArrow(run, kind)
+    return scratch.map_arrow(docs, run, kind)
 
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

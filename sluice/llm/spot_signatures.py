@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import kernels as K
+from sluice.llm import scratch
 
 #: Content words in a signature.
 CHAIN = 2
@@ -115,7 +116,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*names, "fingerprint", "n_signatures"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kind}, fingerprint string, n_signatures long")
+    return scratch.map_arrow(docs, run, f"{kind}, fingerprint string, n_signatures long")
 
 
 def _buckets(docs: DataFrame, parts: int) -> tuple[DataFrame, list]:
@@ -171,7 +172,7 @@ def neighbours(docs: DataFrame, run, schema: str) -> DataFrame:
             if ids:
                 yield ids, texts, nexts
 
-    return rows.mapInArrow(lambda batches: run(paired(batches)), schema)
+    return scratch.map_arrow(rows, lambda batches: run(paired(batches)), schema)
 
 
 def edited(text: str, following: str) -> str:

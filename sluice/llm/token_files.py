@@ -242,7 +242,7 @@ def frequencies(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = scratch.map_arrow(docs.select("text"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     size = max([end_id, *(r.id for r in rows)]) + 1
     out = np.zeros(size, np.int64)
     for r in rows:
@@ -283,7 +283,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 0) -> list[tuple[s
             yield pa.RecordBatch.from_pydict({"file": [name], "docs": [seen[0]], "ids": [seen[1]]})
 
     parts = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first())
-    files = parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(save, "file string, docs long, ids long").collect()
+    files = scratch.map_arrow(parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first()), save, "file string, docs long, ids long").collect()
     return sorted((r.file, r.docs, r.ids) for r in files)
 
 

@@ -196,7 +196,7 @@ def write(pages: DataFrame, out: str, level: int = 1) -> list[str]:
         scratch.write_file(name, chunks())
         yield pa.RecordBatch.from_pydict({"file": [name]})
 
-    return sorted(r.file for r in pages.select("page_id", "url", "html", "refers_to").mapInArrow(save, "file string").collect())
+    return sorted(r.file for r in scratch.map_arrow(pages.select("page_id", "url", "html", "refers_to"), save, "file string").collect())
 
 
 def _each(spark: SparkSession, names: list[str]) -> DataFrame:
