@@ -263,6 +263,23 @@ def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, percent: i
     return found.groupBy("a", "cb").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b") if best else found.select("a", "b").distinct()
 
 
+def linked(first: DataFrame, members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, comp) of ids with links: the components of all pairs within a bucket whose full sets reach the threshold.
+
+    first: candidate pairs (a, b) to begin with; members: (bk, id); known: (id, n, parity); sets: (id, s).
+    """
+    edges = scratch.materialize(_verify(first, sets, percent), "edges")
+    comps = components(edges)
+    # what a bucket still holds from different components: the likeliest links first, then all that are left
+    for only in (True, False):
+        more = scratch.materialize(_verify(_crossing(members, comps, known, percent, only), sets, percent), "edges")
+        if more.isEmpty():
+            break
+        edges = scratch.union(edges, more)
+        comps = components(edges)
+    return comps
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -288,15 +305,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     scored = star.join(mine, "id").join(theirs, "pivot").filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select("id", "pivot", apart.alias("apart"))
     best = scored.groupBy("id").agg(F.min(F.struct("apart", "pivot")).alias("x"), F.max(F.struct("apart", "pivot")).alias("y"), F.min_by("pivot", F.xxhash64("id", "pivot")).alias("z"))
     best = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x.pivot", "z", "y.pivot"))).alias("b"))
-    edges = scratch.materialize(_verify(best, sets, percent), "edges")
-    comps = components(edges)
-    # what a bucket still holds from different components: the likeliest links first, then all that are left
-    for only in (True, False):
-        more = scratch.materialize(_verify(_crossing(members, comps, known, percent, only), sets, percent), "edges")
-        if more.isEmpty():
-            break
-        edges = scratch.union(edges, more)
-        comps = components(edges)
+    comps = linked(best, members, known, sets, percent)
 
     out = feats.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").join(comps, F.col("rep") == F.col("id"), "left")
     comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))

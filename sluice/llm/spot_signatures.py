@@ -8,6 +8,7 @@ A text in which no anchor is followed by a whole chain is fingerprinted by all c
 that by its words in a row.  A text without words (null, blank) has the empty fingerprint; two empty ones are alike (1).
 Words are runs of letters, marks and digits in lower case.
 
+``alike`` links similar documents: signature sets partitioned by length, compared through pruned Jaccard.
 ``neighbours`` pairs every row with the next one in descending doc_id order, the last with the first; rows of equal
 doc_id follow one another by text, null ids come last.  A table of one row pairs it with itself; an empty one is empty.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import kernels as K
-from sluice.llm import scratch
+from sluice.llm import near_dedup, scratch
 
 #: Content words in a signature.
 CHAIN = 2
@@ -119,6 +120,63 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return scratch.map_arrow(docs, run, f"{kind}, fingerprint string, n_signatures long")
 
 
+def set_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, digest, s, parity) of docs (doc_id, text): the signatures as sorted 64-bit numbers and their bitmap."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.sort(K.splitmix(s.astype(K.U64))) for s in signatures(b.column(1).to_pylist())]
+            cols = [
+                b.column(0),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([near_dedup.parity(s) if len(s) else b"" for s in sets], pa.binary()),
+                pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "digest", "s", "parity", "signs"])
+
+    schema = "doc_id long, n int, digest binary, s binary, parity binary, signs array<long>"
+    return scratch.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+
+
+def alike(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_signatures and class_id (the smallest doc_id reachable over pairs of at least this Jaccard similarity).
+
+    Equal sets form a class, of which the smallest doc_id goes on.  Sets are partitioned by length, so that two that can
+    reach the threshold lie in one partition or in neighbouring ones; a set also visits the next one.  Within a partition
+    the inverted index holds a set's rarest signatures only, as many as two similar sets must share one of.  Candidates
+    are linked to a pivot of their lists first; what lists still hold from different classes is compared block by block,
+    pruned by the bitmaps' bound, and confirmed on full sets.  So no list is expanded into all its pairs.
+
+    Texts without words are linked with nothing; a null doc_id gets a null class.  Rows of equal doc_id are one document.
+    """
+    rows = scratch.materialize(set_rows(docs), "signatures")
+    classes = rows.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
+    known = rows.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n", "s", "parity", "signs").dropDuplicates(["id"])
+    known = scratch.materialize(known, "classes")
+    signs = known.select("id", "n", F.explode("signs").alias("sign"))
+    counts = signs.groupBy("sign").agg(F.count("*").alias("c")).filter("c > 1")
+    # signatures of one set only come first in the order of rarity; they use up places but make no list
+    held = signs.join(counts, "sign").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "sign"))).alias("held"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    single = F.col("n") - F.size("held")
+    held = held.withColumn("held", F.slice("held", F.lit(1), F.greatest(prefix - single, F.lit(0))))
+    part = F.floor(F.log(F.col("n").cast("double")) / np.log(max(100 / percent, 1.05)) + 1e-9)
+    lists = held.select("id", part.alias("part"), F.explode("held.sign").alias("sign"))
+    lists = lists.select("id", "sign", F.explode(F.array("part", F.col("part") + 1)).alias("part")).select("id", F.xxhash64("part", "sign").alias("bk"))
+    longer = lists.groupBy("bk").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("bk", "id")).alias("pivot")).filter("c > 1").select("bk", "pivot")
+    members = scratch.materialize(lists.join(longer, "bk").select("bk", "id", "pivot"), "lists")
+    sets, lengths = known.select("id", "s"), known.select("id", "n")
+    near = members.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"))
+    near = near.join(lengths, "id").join(lengths.select(F.col("id").alias("pivot"), F.col("n").alias("pn")), "pivot").filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
+    best = near.groupBy("id").agg(F.max(F.struct("c", "pivot")).alias("x"), F.min_by("pivot", F.xxhash64("id", "pivot")).alias("y"))
+    best = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x.pivot", "y"))).alias("b"))
+    comps = near_dedup.linked(best, members.select("bk", "id"), known.select("id", "n", "parity"), sets, percent)
+    out = rows.select("doc_id", "n", "digest").join(classes, ["n", "digest"], "left").join(comps, F.col("rep") == F.col("id"), "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_signatures"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "rep")).alias("class_id"))
+
+
 def _buckets(docs: DataFrame, parts: int) -> tuple[DataFrame, list]:
     """docs with key and a bucket that rises with it, and (bucket, smallest, greatest key) of each bucket that has rows.
 

@@ -218,6 +218,28 @@ def test_spot_signatures(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_spot_classes_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = list(ODD)
+    for size in (30, 90, 160):
+        base = [rng.choice(["the", "of", "and", "is", *(f"v{k}" for k in range(70))]) for _ in range(size * 2)]
+        for edits in (0, 0, 1, 2, 4, 7, 11, 16):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"u{rng.randrange(10**6)}"
+            texts.append(" ".join(w[: len(w) - rng.randrange(8)]))
+    sets = [set(x.tolist()) for x in spot_signatures.signatures(texts)]
+    comp = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+            low, high = sorted((comp[a], comp[b]))
+            comp = [low if c == high else c for c in comp]
+    rows = sorted(map(tuple, spot_signatures.alike(docs(spark, texts)).collect()))
+    assert rows == [(i, len(sets[i]), comp[i]) for i in range(len(texts))]
+    assert len(set(comp)) < len(texts) - 5
+    assert spot_signatures.alike(docs(spark, texts).limit(0)).count() == 0
+
+
 def test_warc(spark):
     big = "p" * 1500
     pages = spark.createDataFrame([(1, "http://a/é x", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", "é" * 10), (6, "u\r\nX: y", "\r\n\r\n")], "page_id long, url string, html string")
