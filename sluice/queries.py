@@ -13,7 +13,6 @@ from sluice.plans import Machine
 from sluice.plans.examples import latest_status, paired, production_summary
 from sluice.sources import looked_back, route
 
-K = F.get_json_object("props", "$.k").cast("bigint")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
@@ -35,6 +34,11 @@ def _query(name: str, sql: str | None):
     return add
 
 
+def _k():
+    """The number in an event's properties; columns need a session, so it isn't made on import."""
+    return F.get_json_object("props", "$.k").cast("bigint")
+
+
 def _mult(flow: Flow) -> DataFrame:
     """The rows with multiplicities under a plain name."""
     return weighted(flow.df).withColumnRenamed(MULT, "mult")
@@ -51,7 +55,7 @@ _STATUS = "user_id, case when event_type = 'click' then 'working' else 'idle' en
 @_query("map", f"select {_STATUS} from events where event_type in ('click', 'purchase')")
 def _(t):
     click = F.col("event_type") == "click"
-    return t("events").filter(F.col("event_type").isin("click", "purchase")).map("user_id", F.when(click, "working").otherwise("idle").alias("status"), F.when(click, K).alias("order_no"), "ts").df
+    return t("events").filter(F.col("event_type").isin("click", "purchase")).map("user_id", F.when(click, "working").otherwise("idle").alias("status"), F.when(click, _k()).alias("order_no"), "ts").df
 
 
 @_query("map_in_place", "select c_custkey, upper(c_mktsegment) as c_mktsegment from customer")
@@ -61,7 +65,7 @@ def _(t):
 
 @_query("flat_map", "select event_id, unnest(range(1, cast(props ->> '$.k' as bigint) % 3 + 2)) as i from events")
 def _(t):
-    return t("events").flat_map(F.sequence(F.lit(1).cast("bigint"), K % 3 + 1), "i", "event_id").df
+    return t("events").flat_map(F.sequence(F.lit(1).cast("bigint"), _k() % 3 + 1), "i", "event_id").df
 
 
 @_query("negate", "select s_suppkey, cast(-1 as bigint) as mult from supplier")
@@ -108,7 +112,7 @@ def _(t):
 
         return add
 
-    return t("events").map("event_id", "user_id", K.alias("k")).map_in_place_mut(running(), ["event_id"], ["user_id"]).df
+    return t("events").map("event_id", "user_id", _k().alias("k")).map_in_place_mut(running(), ["event_id"], ["user_id"]).df
 
 
 @_query("distinct", "select distinct l_returnflag, l_linestatus from lineitem")
@@ -241,7 +245,7 @@ select user_id, ord, ps as started, epoch_us(ts) - epoch_us(ps) as duration_micr
 
 
 def _usage(flow: Flow) -> Flow:
-    rows = flow.filter(F.col("event_type").isin("click", "purchase")).map("user_id", (K % 4).alias("ord"), F.col("event_type").alias("kind"), "ts", "event_id")
+    rows = flow.filter(F.col("event_type").isin("click", "purchase")).map("user_id", (_k() % 4).alias("ord"), F.col("event_type").alias("kind"), "ts", "event_id")
     df = rows.df.drop(MULT)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return Flow(paired(df, ["user_id", "ord"], ["ts", "event_id"], "click", "purchase").select("user_id", "ord", "started", (micros("ts") - micros("started")).alias("duration_micros")), True)
@@ -263,7 +267,7 @@ qualify row_number() over (partition by machine order by since desc, ordinal des
 def _(t):
     click = F.col("event_type") == "click"
     rows = t("events").filter(F.col("event_type").isin("click", "purchase"))
-    return latest_status(rows.map(F.col("user_id").alias("machine"), F.when(click, 1).otherwise(0).alias("ordinal"), F.when(click, K).alias("order_no"), F.col("ts").alias("since"))).df
+    return latest_status(rows.map(F.col("user_id").alias("machine"), F.when(click, 1).otherwise(0).alias("ordinal"), F.when(click, _k()).alias("order_no"), F.col("ts").alias("since"))).df
 
 
 @_query("look_back", "select user_id, count(*) as n from events where ts > (select max(ts) from events) - interval 7 day group by 1")
