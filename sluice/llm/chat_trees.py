@@ -154,7 +154,7 @@ def build(rows: DataFrame, path: str) -> DataFrame:
     placed = keys.repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
     placed = scratch.materialize(placed.select("conv_id", F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("place")), "places")
     joined = rows.alias("r").join(placed.alias("p"), F.expr("r.conv_id <=> p.conv_id")).select("p.shard", "p.place", "r.conv_id", "r.turn", "r.role", "r.text", "r.h")
-    dealt = joined.repartition(parts, "shard").sortWithinPartitions("shard", "place", *order).select("shard", "place", "conv_id", "h", "role", "text")
+    dealt = joined.repartitionById(parts, "shard").sortWithinPartitions("shard", "place", *order).select("shard", "place", "conv_id", "h", "role", "text")
     return scratch.materialize(scratch.map_arrow(dealt, _emit(path), TREE), "trees")
 
 
@@ -201,7 +201,7 @@ def read(tree: DataFrame, path: str) -> DataFrame:
     """What each conversation says, decoded from its path through the tree."""
     parts = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = tree.select("shard", "seq", "conv_id", "depth", "node", "parent", "tokens", "body", "body_end", "loss")
-    return scratch.map_arrow(rows.repartition(parts, "shard").sortWithinPartitions("shard", "seq"), _read(path), SCHEMA)
+    return scratch.map_arrow(rows.repartitionById(parts, "shard").sortWithinPartitions("shard", "seq"), _read(path), SCHEMA)
 
 
 PROBE = "</s>[INST] ok [/INST]"
