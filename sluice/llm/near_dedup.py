@@ -274,7 +274,8 @@ def linked(first: DataFrame, members: DataFrame, known: DataFrame, sets: DataFra
     for only in (True, False):
         more = scratch.materialize(_verify(_crossing(members, comps, known, percent, only), sets, percent), "edges")
         if more.isEmpty():
-            break
+            # the likeliest by bound may all fail where others link
+            continue
         edges = scratch.union(edges, more)
         comps = components(edges)
     return comps

@@ -135,6 +135,20 @@ def test_parity_bounds_the_difference():
         assert np.bitwise_count(near_dedup.fold(a, k) ^ near_dedup.fold(b, k)).sum() <= len(np.setxor1d(s, t))
 
 
+def test_links_beside_a_failing_best_bound(spark):
+    # 3 has 1's parity bitmap but is too far from it; 2 has a greater bound and links
+    far = [x + (1 << 40) for x in range(35, 40)]
+    sets = {1: [*range(40)], 2: [*range(1, 37), *far[2:]], 3: [*range(35), *far]}
+    sets = {i: np.array(s, np.uint64) for i, s in sets.items()}
+    likeness = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    assert likeness(1, 3) < 0.8 <= min(likeness(1, 2), likeness(2, 3))
+    first = spark.createDataFrame([(2, 3)], "a long, b long")
+    members = spark.createDataFrame([(7, i) for i in sets], "bk long, id long")
+    known = spark.createDataFrame([(i, len(s), near_dedup.parity(s)) for i, s in sets.items()], "id long, n int, parity binary")
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "id long, s binary")
+    assert sorted(map(tuple, near_dedup.linked(first, members, known, held, 80).collect())) == [(1, 1), (2, 1), (3, 1)]
+
+
 # --- the others ---
 
 
