@@ -12,7 +12,7 @@ Found and permuted within their format, so that equal values have equal pseudony
 
 A network has an even number of rounds over two halves; a round adds a keyed SHA-256 stream of one half to the signs of
 the other within each sign's alphabet, which is invertible for whoever has the key.  DataFrame functions only; only
-texts with two digits in a row or an @ are searched further.
+texts that pass HOT, which holds for every text with a value, are searched further.
 
 Nulls: a null text stays null.  Texts without such values, empty ones included, stay as they are.  Repeated rows are
 treated alike.  Extra columns are kept; n_replaced is added (a column of that name is replaced).
@@ -39,6 +39,8 @@ PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|(?<![0-9])[0-9]{3}[ .\-
 SSN = r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])"
 ANY = "|".join([EMAIL, HEX, DATE.replace(r"\1", "[/.]"), IPV4, CARD, SSN, PHONE])
+#: What every text with a value of ANY holds.
+HOT = r"[0-9]{2}|@|[0-9]\.[0-9]\.[0-9]\.[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
 #: Days of 1800-2199 and their factors.
 FIRST_DAY, LONG, SHORT = "1800-01-01", 773, 189
 
@@ -143,7 +145,7 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with the values in text replaced and n_replaced added."""
     docs = docs.drop("n_replaced")
-    hot = docs.withColumn("_found", F.when(F.col(text).rlike("[0-9]{2}|@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    hot = docs.withColumn("_found", F.when(F.col(text).rlike(HOT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     some = F.size("_found") > 0
     new = F.when(some, F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform("_found", lambda x: pseudonym(x, key)), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")).otherwise(F.col(text)).alias(text)
     return hot.select(*(new if c == text else F.col(c) for c in docs.columns), F.greatest(F.coalesce(F.size("_found"), F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))

@@ -206,6 +206,13 @@ def test_pseudonyms(spark):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", rows[1].text) and len(rows[1].text) >= len(texts[1]) - 9
 
 
+def test_values_without_two_digits_in_a_row(spark):
+    texts = ["ask 8.8.8.8 now", "ask 8.8.8.8 now, 10 times", "key " + "a1b" * 11, "KEY " + "A1B" * 11, "v1.2.3 and 1.2.3.4.5"]
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, texts)).collect()}
+    assert [rows[i].n_replaced for i in range(5)] == [1, 1, 1, 1, 0]
+    assert rows[0].text.split()[1] == rows[1].text.split()[1].rstrip(",") != "8.8.8.8"
+
+
 def test_date_and_address_networks_are_permutations(spark):
     from pyspark.sql import functions as F
 
