@@ -4,11 +4,12 @@ A text's words (runs of letters, marks and digits, a point or comma between digi
 units after a number and names (capitalised words inside a sentence) turn into typed placeholders, other words into
 lower case.  Windows of WINDOW template words are hash-joined with those of the benchmark items, so a question with other
 numbers, names or units still meets its original.  Each window is also taken with names as plain words, which finds
-passages in capitals.
+passages in capitals, and in a third template, where capitalised words at the start of a sentence are names too and a
+name of several words is one placeholder.
 
-Matches of one document and item on one diagonal belong together.  They count only if their slots are consistent: equal
-values of the item stand for equal values in the document and different ones for different.  The item leaks if such
-windows cover at least RUN words, or half of the item's.
+Matches of one document and item on one diagonal of a template belong together.  They count only if their slots are
+consistent: equal values of the item stand for equal values in the document and different ones for different.  The item
+leaks if such windows on all its diagonals cover at least RUN words, or half of the item's.
 
 The documents' windows first pass a bitmap of BITMAP_BITS bits that is made from the items' hashes by aggregation; its
 size is fixed, and what a fuller bitmap lets through wrongly the join removes.  Items of fewer than WINDOW words are
@@ -21,6 +22,8 @@ document, of equal item_id one item.  Empty tables give no leaks.  Extra columns
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +40,10 @@ UNITS = (
     " s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars"
     " euro euros cent cents pound pounds usd eur gbp percent degree degrees c f kmh mph kb mb gb tb w kw kwh v a hz khz"
 ).split()
-SCHEMA = "id long, size int, p int, h long, words int, vals array<long>"
+SCHEMA = "id long, kind int, size int, p int, h long, w int, n int, words int, vals array<long>"
 
+#: Blank, apostrophes, hyphen.
+_joints = np.array([0x20, 0x27, 0x2019, 0x2D])
 _ends = np.zeros(0x110000, bool)
 _ends[[ord(c) for c in ".!?:;\n…。！？"]] = True
 
@@ -60,12 +65,25 @@ def digits() -> np.ndarray:
     return _digit
 
 
-def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, template with names as slots, template with names as words, word bounds of the texts)."""
+@dataclass
+class Template:
+    """Tokens of some texts: a token's code, its value, its first word and, by text, the first token.
+
+    Diagonals of one kind are comparable.  starts has the number of words as its last element.
+    """
+
+    kind: int
+    codes: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+
+
+def templates(texts: list[str | None]) -> tuple[list[Template], np.ndarray]:
+    """Templates with names as slots, with names as words, with all capitalised words as joined slots; word bounds."""
     _, codes, bounds = K.flat_codes(texts)
     if not len(codes):
-        none = np.zeros(0, K.U64)
-        return none, none, none, np.zeros(len(bounds), np.int64)
+        return [], np.zeros(len(bounds), np.int64)
     low = K.word_table()[codes]
     number = digits()[codes]
     inside = low != 0
@@ -75,8 +93,7 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     starts, ends = K.runs(inside, bounds)
     at = np.searchsorted(starts, bounds)
     if not len(starts):
-        none = np.zeros(0, K.U64)
-        return none, none, none, at
+        return [], at
     words = K.segment_hashes(np.where(low != 0, low, codes), starts, ends)
     count = np.concatenate([[0], np.cumsum(number)])
     is_num = count[ends] > count[starts]
@@ -88,13 +105,28 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first[1:] |= stops[starts[1:]] > stops[ends[:-1]]
     upper = codes != low
     second = np.minimum(starts + 1, ends - 1)
-    is_name = ~first & ~is_num & upper[starts] & ~(upper[second] & (second > starts))
+    capital = ~is_num & upper[starts] & ~(upper[second] & (second > starts))
     plain = np.where(is_num, NUM, np.where(is_unit, UNIT, words))
-    return words, np.where(is_name & ~is_unit, NAME, plain), plain, at
-
-
-def _windows(words, template, at, size):
-    """(text, first word, hash, plain words) of all windows of ``size`` words that lie within a text."""
+    slots = np.where(capital & ~first & ~is_unit, NAME, plain)
+    each = np.arange(len(words) + 1)
+    out = [Template(0, slots, words, each, at), Template(0, plain, words, each, at)]
+    # words of a name are parted by blanks, hyphens and apostrophes only
+    parts = np.concatenate([[0], np.cumsum(~np.isin(codes, _joints))])
+    named = capital & ~is_unit
+    more = np.zeros(len(words), bool)
+    more[1:] = named[1:] & named[:-1] & ~first[1:] & (parts[starts[1:]] == parts[ends[:-1]])
+    if (named & first).any() or more.any():
+        begin = np.flatnonzero(~more)
+        # a name's value depends on its words and their order
+        place = each[:-1] - np.repeat(begin, np.diff(np.append(begin, len(words))))
+        values = np.add.reduceat(np.where(place > 0, K.splitmix(words + place.astype(K.U64)), words), begin)
+        out.append(Template(1, np.where(named, NAME, plain)[begin], values, np.append(begin, len(words)), np.searchsorted(begin, at)))
+    return out, at
+
+
+def _windows(t: Template, size):
+    """(text, first token, hash, plain words) of all windows of ``size`` tokens that lie within a text."""
+    template, at = t.codes, t.at
     n = len(template) - size + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
@@ -109,22 +141,26 @@ def _windows(words, template, at, size):
     return text[ok], ok, K.splitmix(total[ok] + K.U64(size)), (plain[size:] - plain[:-size])[ok]
 
 
-def _rows(ids, sizes, text, first, h, template, words, at):
+def _rows(ids, size, text, first, h, t: Template, at):
     vals = []
-    slot = (template == NUM) | (template == NAME) | (template == UNIT)
-    for p, n in zip(first.tolist(), sizes.tolist(), strict=True):
-        vals.append(np.where(slot[p : p + n], words[p : p + n], 0).astype(K.U64).view(np.int64).tolist())
+    held = np.where((t.codes == NUM) | (t.codes == NAME) | (t.codes == UNIT), t.values, 0).astype(K.U64).view(np.int64)
+    for p in first.tolist():
+        vals.append(held[p : p + size].tolist())
     counts = np.diff(at)[text]
+    word = t.starts[first]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([ids[t] for t in text.tolist()], pa.int64()),
-            pa.array(sizes, pa.int32()),
-            pa.array(first - at[text], pa.int32()),
+            pa.array(np.full(len(first), t.kind), pa.int32()),
+            pa.array(np.full(len(first), size), pa.int32()),
+            pa.array(first - t.at[text], pa.int32()),
             pa.array(h.view(np.int64)),
+            pa.array(word - at[text], pa.int32()),
+            pa.array(t.starts[first + size] - word, pa.int32()),
             pa.array(counts, pa.int32()),
             pa.array(vals, pa.list_(pa.int64())),
         ],
-        ["id", "size", "p", "h", "words", "vals"],
+        ["id", "kind", "size", "p", "h", "w", "n", "words", "vals"],
     )
 
 
@@ -132,17 +168,17 @@ def _of_items(batches):
     for b in batches:
         ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         for i, j in K.slices(texts):
-            words, slots, plain, at = templates(texts[i:j])
-            lens = np.diff(at)
-            for template in (slots, plain):
+            found, at = templates(texts[i:j])
+            for t in found:
+                lens = np.diff(t.at)
                 for size in np.unique(np.minimum(lens[lens >= SHORTEST], WINDOW)).tolist():
-                    text, first, h, n_plain = _windows(words, template, at, size)
+                    text, first, h, n_plain = _windows(t, size)
                     mine = np.minimum(lens[text], WINDOW) == size
                     good = mine & (2 * n_plain >= size)
                     has = np.zeros(j - i, bool)
                     has[text[good]] = True
                     use = good | (mine & ~has[text])
-                    yield _rows(ids[i:j], np.full(int(use.sum()), size), text[use], first[use], h[use], template, words, at)
+                    yield _rows(ids[i:j], size, text[use], first[use], h[use], t, at)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -163,29 +199,30 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in K.slices(texts):
-                words, slots, plain, at = templates(texts[i:j])
-                for template in (slots, plain) if (slots != plain).any() else (plain,):
+                made, at = templates(texts[i:j])
+                for t in made:
                     for size in sizes:
-                        text, first, h, _ = _windows(words, template, at, size)
+                        text, first, h, _ = _windows(t, size)
                         pos = (h & K.U64(BITMAP_BITS - 1)).astype(np.int64)
                         hit = (bits[pos >> 5] >> (pos & 31).astype(np.uint32)) & 1 != 0
                         if hit.any():
-                            yield _rows(ids[i:j], np.full(int(hit.sum()), size), text[hit], first[hit], h[hit], template, words, at)
+                            yield _rows(ids[i:j], size, text[hit], first[hit], h[hit], t, at)
 
     found = scratch.map_arrow(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of_docs, SCHEMA)
-    found = found.select(F.col("id").alias("doc_id"), F.col("p").alias("dp"), "h", "size", F.col("vals").alias("dvals")).distinct()
-    met = found.join(index.select(F.col("id").alias("item_id"), "p", "h", "size", "words", "vals"), ["h", "size"])
+    found = found.select(F.col("id").alias("doc_id"), F.col("p").alias("dp"), "h", "kind", "size", F.col("vals").alias("dvals")).distinct()
+    met = found.join(index.select(F.col("id").alias("item_id"), "p", "h", "kind", "size", "w", "n", "words", "vals"), ["h", "kind", "size"])
     slots = F.filter(F.zip_with("vals", "dvals", lambda v, d: F.struct(v.alias("v"), d.alias("d"))), lambda x: x["v"] != 0)
-    runs = met.groupBy("doc_id", "item_id", (F.col("dp") - F.col("p")).alias("diagonal")).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("p", F.col("p") + F.col("size") - 1)))).alias("covers"),
+    span = F.sequence("w", F.col("w") + F.col("n") - 1)
+    runs = met.groupBy("doc_id", "item_id", "kind", (F.col("dp") - F.col("p")).alias("diagonal")).agg(
+        F.array_distinct(F.flatten(F.collect_set(span))).alias("covers"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
         F.max("words").alias("item_words"),
     )
     n = F.size("slots")
     consistent = (F.size(F.array_distinct(F.transform("slots", lambda x: x["v"]))) == n) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["d"]))) == n)
-    covered = F.size("covers")
-    enough = (covered >= RUN) | (2 * covered >= F.col("item_words"))
-    return runs.filter(consistent & enough).groupBy("doc_id", "item_id").agg(F.max(covered).cast("long").alias("covered"), F.max("item_words").cast("long").alias("item_words"))
+    runs = runs.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("covered"), F.max("item_words").alias("item_words"))
+    enough = (F.col("covered") >= RUN) | (2 * F.col("covered") >= F.col("item_words"))
+    return runs.filter(enough).select("doc_id", "item_id", F.col("covered").cast("long"), F.col("item_words").cast("long"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, texts).limit(0), items).count() == 0
 
 
+def test_leaks_with_other_names_at_the_start(spark):
+    item = "Tom has 3 red apples. Tom eats 2 of them. Tom buys 5 more. How many does Tom have?"
+    long = "Mary Jones sold 48 clips to her friends in April, and then Mary Jones sold half as many clips in the month of May."
+    texts = [item.replace("Tom", "Anna"), item.replace("Tom", "Anna Lee").replace("3", "4"), long.replace("Mary Jones", "Anna"), "Anna has 3 green pears. Bob eats 2 of us. Eve buys 5 books. How many are left?"]
+    items = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.item_words) for r in decontaminate.leaks(docs(spark, texts), items).collect()}
+    assert got == {(0, 1): (19, 19), (1, 1): (19, 19), (2, 2): (24, 24)}
+
+
 def test_pseudonyms(spark):
     texts = ["4111 1111 1111 1111 or 4111111111111111", "a.b9@mail7.example.com, +1 (017) 555-7713, 97.51.17.173 on 2021-02-28 or 31/12/1999, not 2021-02-30", "no 6.5 value, v3.0", None, "", "again 97.51.17.173 and 4111111111111111"]
     rows = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, texts)).collect()}
