@@ -7,9 +7,10 @@ numbers, names or units still meets its original.  Each window is also taken wit
 passages in capitals, and in a third template, where capitalised words at the start of a sentence are names too and a
 name of several words is one placeholder.
 
-Matches of one document and item on one diagonal of a template belong together.  They count only if their slots are
-consistent: equal values of the item stand for equal values in the document and different ones for different.  The item
-leaks if such windows on all its diagonals cover at least RUN words, or half of the item's.
+Matches of one document and item on one diagonal of a template belong together.  They count if their slots are
+consistent: equal values of the item stand for equal values in the document.  Where they aren't, unchanged runs of at
+least RUN words count.  The item leaks if what counts on all its diagonals covers at least RUN words, or half of the
+item's.
 
 The documents' windows first pass a bitmap of BITMAP_BITS bits that is made from the items' hashes by aggregation; its
 size is fixed, and what a fuller bitmap lets through wrongly the join removes.  Items of fewer than WINDOW words are
@@ -215,12 +216,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     span = F.sequence("w", F.col("w") + F.col("n") - 1)
     runs = met.groupBy("doc_id", "item_id", "kind", (F.col("dp") - F.col("p")).alias("diagonal")).agg(
         F.array_distinct(F.flatten(F.collect_set(span))).alias("covers"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("vals") == F.col("dvals"), span)))).alias("same"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
         F.max("words").alias("item_words"),
     )
-    n = F.size("slots")
-    consistent = (F.size(F.array_distinct(F.transform("slots", lambda x: x["v"]))) == n) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["d"]))) == n)
-    runs = runs.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("covered"), F.max("item_words").alias("item_words"))
+    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x["v"]))) == F.size("slots")
+    # words of an unchanged run: sorted words less their places are equal within a run
+    same = F.transform(F.array_sort("same"), lambda x, i: F.struct(x.alias("w"), (x - i).alias("run")))
+    long = F.transform(F.filter("same", lambda x: F.size(F.filter("same", lambda y: y["run"] == x["run"])) >= RUN), lambda x: x["w"])
+    runs = runs.withColumn("same", same).withColumn("covers", F.when(consistent, F.col("covers")).otherwise(long))
+    runs = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("covered"), F.max("item_words").alias("item_words"))
     enough = (F.col("covered") >= RUN) | (2 * F.col("covered") >= F.col("item_words"))
     return runs.filter(enough).select("doc_id", "item_id", F.col("covered").cast("long"), F.col("item_words").cast("long"))
 

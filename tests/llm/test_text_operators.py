@@ -200,6 +200,15 @@ def test_leaks_with_other_names_at_the_start(spark):
     assert got == {(0, 1): (19, 19), (1, 1): (19, 19), (2, 2): (24, 24)}
 
 
+def test_leaks_with_inconsistent_slots(spark):
+    w = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(36)]
+    item = " ".join(["start", "3", *w[:18], "12", *w[18:], "3", "end"])
+    texts = [item.replace("3", "5").replace("12", "5"), item.replace("3", "5", 1), " ".join(["start", "5", *w[:9], "other", *w[20:26], "3"])]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.covered for r in decontaminate.leaks(docs(spark, texts), items).collect()}
+    assert got == {0: 41, 1: 39}
+
+
 def test_pseudonyms(spark):
     texts = ["4111 1111 1111 1111 or 4111111111111111", "a.b9@mail7.example.com, +1 (017) 555-7713, 97.51.17.173 on 2021-02-28 or 31/12/1999, not 2021-02-30", "no 6.5 value, v3.0", None, "", "again 97.51.17.173 and 4111111111111111"]
     rows = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, texts)).collect()}
