@@ -2,11 +2,13 @@
 
 Found and permuted within their format, so that equal values have equal pseudonyms in all documents:
 
-* payment cards (13 to 19 digits, also in groups); one that passes the Luhn check passes it again,
-* other long numbers, telephone numbers (the country code stays) and nnn-nn-nnnn numbers: digits for digits,
+* payment cards (13 to 19 digits, also in groups of 4-4-4-4 or 4-6-5); one that passes the Luhn check passes it again,
+* IBANs of the registry's lengths: the country stays; one that passes the mod-97 check passes it again,
+* other numbers of 9 to 19 digits, telephone numbers (the country code stays; national ones as nnn nnn nnnn or with a
+  leading 0) and nnn-nn-nnnn numbers: digits for digits,
 * IPv4 addresses whose parts are at most 255: on 2 x 16 bits,
-* calendar dates (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy) that exist, 1800 to 2199: on the 146,097 = 189 x 773 days of those
-  400 years, so that every date gives a date,
+* calendar dates (yyyy-mm-dd, d/m/yyyy, d.m.yyyy, and m/d/yyyy where only that can be) that exist, 1000 to 2999: on the
+  146,097 = 189 x 773 days of their 400 years (1800 to 2199 and so on), so that every date gives a date,
 * e-mail addresses: the part before the @, letters for letters and digits for digits,
 * hexadecimal secrets of 32 to 64 signs.
 
@@ -34,13 +36,26 @@ EMAIL = r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9])(?:(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([/.])(?:0[1-9]|1[0-2])\1(?:1[89]|2[01])[0-9]{2})(?![0-9])"
+_day, _month = "(?:0[1-9]|(?<![0-9][/.])[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])"
+DATE = rf"(?<![0-9])(?:[12][0-9]{{3}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|{_day}([/.]){_month}\1[12][0-9]{{3}}|(?<![0-9]/){_month}/(?:1[3-9]|2[0-9]|3[01])/[12][0-9]{{3}})(?![0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|(?<![0-9])[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])"
-ANY = "|".join([EMAIL, HEX, DATE.replace(r"\1", "[/.]"), IPV4, CARD, SSN, PHONE])
+CARD = r"(?<![0-9])(?:[0-9]{9,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
+#: Country calling codes; none begins another.
+CALLING = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+ABROAD = rf"\+{CALLING}(?:[ .\-/]?(?:\([0-9]{{1,4}}\)|[0-9])){{6,13}}(?![0-9])"
+NATIONAL = r"(?<![0-9.])(?:0[1-9](?:[ .\-][0-9]{2}){4}|0[0-9]{2,4}[ /\-][0-9]{3,4}[ \-]?[0-9]{3,5})(?![0-9])"
+#: Countries by the length of their IBANs.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_bans = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}" for n, c in IBANS.items())
+IBAN = rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_bans})(?![0-9A-Za-z])"
+ANY = "|".join([EMAIL, HEX, DATE.replace(r"\1", "[/.]"), IPV4, IBAN, CARD, SSN, PHONE, ABROAD, NATIONAL])
 #: What every text with a value of ANY holds.
-HOT = r"[0-9]{2}|@|[0-9]\.[0-9]\.[0-9]\.[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
+HOT = r"[0-9]{2}|@|\+[0-9]|[0-9]\.[0-9]\.[0-9]\.[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
 #: Days of 1800-2199 and their factors.
 FIRST_DAY, LONG, SHORT = "1800-01-01", 773, 189
 
@@ -104,19 +119,40 @@ def _card(x: Column, key: str) -> Column:
     bare = lambda t: F.regexp_replace(t, "[^0-9]", "")
     body = permuted(F.substr(x, F.lit(1), F.length(x) - 1), [DIGITS], key, "card")
     checked = F.transform(F.array(body), lambda b: F.concat(b, ((10 - _luhn(F.concat(bare(b), F.lit("0"))) % 10) % 10).cast("string")))[0]
-    return F.when(_luhn(bare(x)) % 10 == 0, checked).otherwise(permuted(x, [DIGITS], key, "number"))
+    return F.when((F.length(bare(x)) >= 13) & (_luhn(bare(x)) % 10 == 0), checked).otherwise(permuted(x, [DIGITS], key, "number"))
+
+
+def _iban_rest(x: Column) -> Column:
+    """An IBAN modulo 97, its first four signs taken last."""
+    bare = F.replace(x, F.lit(" "))
+    signs = F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))
+
+    def add(rest: Column, c: Column) -> Column:
+        v = F.instr(F.lit(DIGITS + UPPER), c) - 1
+        return F.when(c == "", rest).otherwise((rest * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+    return F.aggregate(F.split(signs, ""), F.lit(0), add)
+
+
+def _iban(x: Column, key: str) -> Column:
+    body = permuted(F.substr(x, F.lit(5)), [DIGITS, UPPER], key, "iban")
+    country = F.substr(x, F.lit(1), F.lit(2))
+    checked = F.transform(F.array(body), lambda b: F.concat(country, F.lpad((98 - _iban_rest(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0"), b))[0]
+    return F.when(_iban_rest(x) == 1, checked).otherwise(permuted(x, [DIGITS], key, "number"))
 
 
 def _date(x: Column, key: str) -> Column:
-    shapes = {r"^\d{4}-": "yyyy-MM-dd", r"^\d\d/": "dd/MM/yyyy", r"^\d\d\.": "dd.MM.yyyy"}
+    shapes = {r"^\d{4}-": "yyyy-MM-dd", r"^\d\d/\d\d/": "dd/MM/yyyy", r"^\d\d\.\d\d\.": "dd.MM.yyyy", r"^\d+/": "d/M/yyyy", r"^\d+\.": "d.M.yyyy"}
+    shapes = {r"^\d\d/(1[3-9]|[23]\d)/": "MM/dd/yyyy", r"^\d/(1[3-9]|[23]\d)/": "M/d/yyyy"} | shapes
 
     def one(shape: str) -> Column:
         day = F.to_date(F.try_to_timestamp(x, F.lit(shape)))
-        at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        new = F.transform(F.array(_pair(at % SHORT, F.floor(at / SHORT), SHORT, LONG, key, "date")), lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] + p["r"] * SHORT).cast("int")), shape))[0]
+        since = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+        at = F.pmod(since, F.lit(SHORT * LONG))
+        new = F.transform(F.array(_pair(at % SHORT, F.floor(at / SHORT), SHORT, LONG, key, "date")), lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (since - at + p["l"] + p["r"] * SHORT).cast("int")), shape))[0]
         return F.when(at.isNull(), x).otherwise(new)
 
-    return reduce(lambda out, k: F.when(x.rlike(k), one(shapes[k])).otherwise(out), shapes, x)
+    return reduce(lambda out, k: F.when(x.rlike(k), one(shapes[k])).otherwise(out), reversed(shapes), x)
 
 
 def _ipv4(x: Column, key: str) -> Column:
@@ -129,14 +165,15 @@ def _ipv4(x: Column, key: str) -> Column:
 def pseudonym(x: Column, key: str = KEY) -> Column:
     """The pseudonym of one found value."""
     local = F.substring_index(x, "@", 1)
-    code = F.regexp_extract(x, r"^(\+[0-9]{1,3}[ .\-]?)?", 0)
+    code = F.regexp_extract(x, rf"^(?:\+{CALLING}[ .\-]?|\+[0-9]{{1,3}}[ .\-]?)?", 0)
     whole = lambda p: rf"^(?:{p})$"
     return (
         F.when(F.contains(x, F.lit("@")), F.concat(permuted(local, [DIGITS, LOWER, UPPER], key, "mail"), F.substr(x, F.length(local) + 1)))
         .when(x.rlike("^[0-9a-f]{32,64}$") & x.rlike("[a-f]"), permuted(x, [DIGITS + "abcdef"], key, "hex"))
         .when(x.rlike("^[0-9A-F]{32,64}$"), permuted(x, [DIGITS + "ABCDEF"], key, "hex"))
-        .when(x.rlike(whole(r"\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4}")), _date(x, key))
+        .when(x.rlike(whole(r"\d{4}-\d\d-\d\d|\d\d?[/.]\d\d?[/.]\d{4}")), _date(x, key))
         .when(x.rlike(whole(IPV4)), _ipv4(x, key))
+        .when(x.rlike("^[A-Z]{2}"), _iban(x, key))
         .when(x.rlike(whole(CARD)), _card(x, key))
         .otherwise(F.concat(code, permuted(F.substr(x, F.length(code) + 1), [DIGITS], key, "number")))
     )

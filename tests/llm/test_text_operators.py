@@ -231,6 +231,20 @@ def test_values_without_two_digits_in_a_row(spark):
     assert rows[0].text.split()[1] == rows[1].text.split()[1].rstrip(",") != "8.8.8.8"
 
 
+def test_more_numbers_and_dates(spark):
+    values = "5551234567,+15551234567,+33 1 23 45 67 89,+44 20 7946 0958,+49 30 1234567,3782 822463 10005,123456789,DE89 3704 0044 0532 0130 00,GB29NWBK60161331926819,1/5/2020,01/05/1750,1750-02-03,12/31/1999,01 23 45 67 89".split(",")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, [f"so {v}, then" for v in values] + ["in 12345678 of 1.5 or 2020"])).collect()}
+    new = [rows[i].text[3:-6] for i in range(len(values))]
+    assert [rows[i].n_replaced for i in range(len(values) + 1)] == [1] * len(values) + [0]
+    assert all(a != b for a, b in zip(values, new, strict=True))
+    assert all(re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(values[:7], new[:7], strict=True))
+    assert [v[:3] for v in new[2:5]] == ["+33", "+44", "+49"] and new[1][:2] == "+1"
+    for v in new[7:9]:
+        bare = v.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert new[7][:2] == "DE" and new[8][:2] == "GB" and "1400" <= new[10][-4:] < "1800" and "1400" <= new[11][:4] < "1800"
+
+
 def test_date_and_address_networks_are_permutations(spark):
     from pyspark.sql import functions as F
 
