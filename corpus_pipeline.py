@@ -15,9 +15,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text in a language (no letter at all) go.  Profiles come from this stage's labelled rows."""
+    """Documents whose nearest profile is no nearer than the others, or without a letter, go.
+
+    Profiles come from this stage's labelled rows.  A score of 0 is chance: no profile tells the text from the others.
+    """
     profiles = language_id.fit(docs)
-    return language_id.predict(docs.select(COLUMNS), profiles).filter("lang_pred <> 'und'").select(COLUMNS)
+    return language_id.predict(docs.select(COLUMNS), profiles).filter("lang_pred <> 'und' and score > 0").select(COLUMNS)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

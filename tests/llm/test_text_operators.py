@@ -339,6 +339,14 @@ def test_chat_trees(spark):
         assert not re.search(r"<\||\[/?INST\]|</?s>", chat_trees.escape(t))
 
 
+def test_pipeline_rejects_texts_of_no_profile(spark):
+    import corpus_pipeline
+
+    texts = ["the cat and the dog are in the house"] * 3 + ["le chat et le chien sont dans la maison"] * 3 + ["это другой язык", "全部文字", "123"]
+    kept = corpus_pipeline.identify_languages(spark, docs(spark, texts, ["en"] * 3 + ["fr"] * 3 + [None] * 3), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
