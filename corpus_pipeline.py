@@ -24,8 +24,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share leave all documents but the first; a document of which nothing remains goes."""
-    cut = line_dedup.dedup_lines(docs.select(COLUMNS))
+    """Lines of any length that many sites share leave all documents but the first; a document of which nothing remains goes."""
+    cut = line_dedup.dedup_lines(docs.select(COLUMNS), min_words=1)
     cut = cut.filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     return cut.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(COLUMNS)
 

@@ -1,6 +1,7 @@
 """Cross-site boilerplate lines: lines that stand on many distinct sites go, but for their first occurrence.
 
-A line is its text between line feeds without spaces at either end; it counts if it has at least ``min_words`` words.
+A line is its text between line feeds without spaces at either end; it counts if it has at least ``min_words`` words,
+parted by single spaces; with min_words = 1 every line that isn't blank counts.
 Its spread is the number of distinct sites (``source``) that it stands on.  Every line hash gets a HyperLogLog sketch of
 its sites, merged by aggregation, which starts before the shuffle.  Where the estimate lies near the threshold the
 distinct sites are counted exactly; elsewhere the estimate decides.  A line of at least min_sites sites is taken out of
@@ -29,6 +30,8 @@ LG_K = 12
 def line_hash(line: Column, min_words: int) -> Column:
     """A line's 64-bit hash, null where it doesn't count."""
     bare = F.trim(line)
+    if min_words <= 1:
+        return F.when(bare.rlike(r"\S"), F.xxhash64(bare))
     return F.when(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) >= min_words - 1, F.xxhash64(bare))
 
 

@@ -181,6 +181,14 @@ def test_boilerplate_lines(spark):
     assert line_dedup.dedup_lines(table.limit(0)).count() == 0
 
 
+def test_pipeline_removes_short_boilerplate(spark):
+    import corpus_pipeline
+
+    texts = [f"own {i}\n\nAll rights reserved.\n版权所有\na\tb\tc\td\n \t\nend {i}" for i in range(12)]
+    rows = {r.doc_id: r.text for r in corpus_pipeline.remove_boilerplate(spark, docs(spark, texts, sources=[f"s{i}" for i in range(12)]), "").collect()}
+    assert rows == {i: texts[0] if i == 0 else f"own {i}\n\n \t\nend {i}" for i in range(12)}
+
+
 def test_leaks(spark):
     item = "Maria bought 3 apples and 12 pears for 15 dollars at the market in Lisbon today, then gave 3 apples to Pedro."
     other = "foo. Hans bought 7 apples and 9 pears for 40 euros at the market in Berlin today, then gave {} apples to Karl."
