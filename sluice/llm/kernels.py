@@ -14,7 +14,7 @@ import pandas as pd
 
 U64 = np.uint64
 #: Characters handled at once; bounds the memory of a worker whatever the Arrow batch holds.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 400_000
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -144,7 +144,7 @@ class SegmentStore:
 
     RECENT = 1 << 17
 
-    def __init__(self, dtype: type, most: int = 3_000_000):
+    def __init__(self, dtype: type, most: int = 1_000_000):
         self.dtype, self.most = dtype, most
         self.clear()
 

@@ -1,28 +1,36 @@
 """Shared storage for cut lineage and for operators that write files.
 
-The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-temporary folder is made.  Files are reached through pyarrow's file systems, so any URI that they know will do.
+The folder is the one that the cluster names in ``spark.checkpoint.dir``; only in a session of one machine (tests, a
+laptop) that leaves it unset a temporary folder is made.  Files are reached through pyarrow's file systems, so any URI
+that they know will do.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 #: Bytes in an Arrow batch, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Rows of one id each that a broadcast may hold.
+BROADCAST_IDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI."""
+    """The shared folder's URI.  A cluster has to name one: its machines don't see each other's temporary folders."""
     found = spark.conf.get(KEY, None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"{KEY} has to name a folder that all machines of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
         spark.conf.set(KEY, found)
     return found.rstrip("/")
@@ -37,7 +45,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_dir(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the tables behind materialized DataFrames that nothing reads any more."""
+    for df in frames:
+        if folder := df.__dict__.get("_folder"):
+            drop_dir(df.sparkSession, folder)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, changed where a table has a column of that name (whatever its case)."""
+    have = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """docs less the rows whose doc_id is in ids (doc_id), which are written first.
+
+    So what makes ids doesn't run beside the join's shuffle.  Up to BROADCAST_IDS of them, as counted, are broadcast;
+    beyond, Spark joins as the written table's size tells it.
+    """
+    ids = materialize(ids.select("doc_id").distinct(), tag)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:

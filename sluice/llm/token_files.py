@@ -219,7 +219,27 @@ class Encoder:
         return classes, at, starts, bounds
 
 
+class Decoder:
+    """Byte-level BPE ids back to text: a table of each id's bytes, gathered with numpy."""
+
+    def __init__(self, tokenizer):
+        # signs that stand for bytes: printable ones for themselves, the others from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        whole = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        table = [b""] * tokenizer.get_vocab_size()
+        for piece, i in tokenizer.get_vocab().items():
+            table[i] = whole[i] if i in whole else bytes(byte[c] for c in piece)
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.flat[K.gather_ranges(self.at[ids], self.size[ids])].tobytes().decode("utf-8", "surrogatepass")
+
+
 _encoders: dict[str, Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -229,6 +249,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def decoder(path: str) -> Decoder:
+    """The worker's decoder."""
+    if path not in _decoders:
+        from tokenizers import Tokenizer
+
+        _decoders[path] = Decoder(Tokenizer.from_file(path))
+    return _decoders[path]
+
+
 def frequencies(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
     """How often each id occurs over all texts.  What reaches the driver is bounded by the vocabulary."""
 
