@@ -1,20 +1,23 @@
 """MinHash near-duplicate components with odd sketches.
 
 Every text becomes the set of its distinct word shingles.  Equal sets form a class, of which the smallest doc_id goes on.
-Banded MinHash puts classes into buckets.  The MinHash samples are folded into a 512-bit parity bitmap (odd sketch) whose
-XOR population count orders a class's candidates; a second parity bitmap, over the whole set, bounds the symmetric
-difference from below, so that it rejects without ever losing a pair.  Links are confirmed on full sets in exact integers.
+Banded MinHash puts classes into buckets.  The MinHash samples are folded into a 512-bit parity bitmap, the odd sketch.
+The population count of two sketches' XOR estimates their similarity, the more precisely the higher it is, and a bucket's
+pairs become candidates only if the estimate lies within MARGIN of the threshold or above (``apart_limit``).  Candidates
+are confirmed on full sets in exact integers.
 
-No bucket is expanded into all its pairs.  First every member meets one pivot per bucket, and three of its pivots are
-confirmed.  What a bucket still holds from different components is compared in blocks of bounded size, bitmap against
-bitmap; of the pairs that pass the lossless bound, the likeliest for each member and component is emitted and confirmed,
-and then whatever still crosses components.  So a bucket of any size is dealt out over tasks, and no candidate is capped.
+No bucket is expanded into all its pairs.  First every member meets one pivot per bucket, and of its pivots that pass
+the estimate three are confirmed.  What a bucket still holds from different components is compared in blocks of bounded
+size, sketch against sketch; of the pairs that pass, the likeliest for each member and component is confirmed, and then
+whatever still crosses components.  So a bucket of any size is dealt out over tasks, and no candidate is capped.
 
-A pair at the threshold shares no bucket with a chance of (1 - 0.8**5)**30 < 1e-5, less above it.
+A pair at the threshold shares no bucket with a chance of (1 - 0.8**5)**30 < 1e-5, less above it; its estimate falls
+below the margin with a chance of about 1e-6 (tests/llm draws them).
 
 Nulls and short texts: a null or blank text has no shingles, stays alone and is kept; a text of fewer words than a
 shingle has one, its words in a row.  Rows of equal doc_id are one node.  A null doc_id gets a null component and is
-kept.  An empty table gives an empty result.  Extra columns are not looked at.
+kept.  An empty table gives an empty result.  Extra columns are not looked at.  A very long text is one row of the sets
+that are confirmed, 8 bytes a distinct shingle.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ SAMPLES = BANDS * ROWS
 ODD_WORDS = 8
 #: Members of a bucket that meet in one block.
 BLOCK = 256
+#: By how much less than the threshold a sketch may estimate a pair's similarity.
+MARGIN = 0.25
+#: Parts that the rows of one class of equal sets are dealt over.
+SALT = 16
 
 _seeds = (K.splitmix(np.arange(1000, 1000 + SAMPLES)) >> K.U64(32)).astype(np.uint32)[:, None]
 _mults = ((K.splitmix(np.arange(5000, 5000 + SAMPLES)) >> K.U64(32)).astype(np.uint32) | np.uint32(1))[:, None]
@@ -104,7 +111,16 @@ def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
 
 
-FEATURES = "doc_id long, n int, d1 long, d2 long, bands array<long>, odd array<long>, parity binary"
+def apart_limit(percent: int) -> int:
+    """The greatest XOR population count of two odd sketches at which their estimated similarity is within the margin.
+
+    Each sample in which two sets differ flips two bits; so many flips leave so many odd ones on average.
+    """
+    bits, flips = 64 * ODD_WORDS, 2 * SAMPLES * (1 - percent / 100 + MARGIN)
+    return int(bits * (1 - (1 - 2 / bits) ** flips) / 2)
+
+
+FEATURES = "doc_id long, n int, d1 long, d2 long, bands array<long>, odd array<long>"
 
 
 def _features(width: int):
@@ -126,9 +142,8 @@ def _features(width: int):
                         pa.array([d[1] for d in digests], pa.int64()),
                         pa.array([keys[at[k]].tolist() if k in at else [] for k in range(len(part))], pa.list_(pa.int64())),
                         pa.array([odd[at[k]].tolist() if k in at else [] for k in range(len(part))], pa.list_(pa.int64())),
-                        pa.array([parity(s) if len(s) else b"" for s in part], pa.binary()),
                     ],
-                    ["doc_id", "n", "d1", "d2", "bands", "odd", "parity"],
+                    ["doc_id", "n", "d1", "d2", "bands", "odd"],
                 )
 
     return run
@@ -178,26 +193,45 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is two shuffles of the edges, written to the shared folder.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before = None
+    before = rows = None
     while True:
         sym = scratch.union(e, e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = scratch.materialize(scratch.union(small, low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, e = e, scratch.materialize(scratch.union(small, low.select("u", F.col("m").alias("v"))).distinct(), "stars", rows)
+        scratch.forget(last)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(20,0)"))).first())
         if now == before:
             break
-        before = now
+        # a step makes at most two edges of each
+        before, rows = now, 2 * now[0]
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return scratch.union(e.select(F.col("u").alias("id"), F.col("v").alias("comp")), roots)
 
 
-def _blocks(percent: int, best: bool):
-    """Streams sorted (bk, i, j, side, ...) rows; in each block, pairs across sides and components that the bitmaps allow.
+def _parity_over(percent: int):
+    """For parity bitmaps of whole sets: at most 0 where the threshold can be met, whatever the sets."""
+    # |S ^ T| >= odd, and the threshold allows |S ^ T| <= (100 - p)(|S| + |T|) / (100 + p)
+    return lambda odd, n, m: odd * (100 + percent) - (100 - percent) * (n + m)
+
+
+def _odd_over(percent: int):
+    """For odd sketches: at most 0 where the estimate is within the margin and the sizes allow the threshold."""
+    limit = apart_limit(percent)
+    return lambda odd, n, m: np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), odd - limit, 1)
+
 
-    With ``best``, for each row and component only the pair of the least bound.
+def _bits(sketch) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint64) if isinstance(sketch, bytes) else np.array(sketch, np.int64).view(np.uint64)
+
+
+def _blocks(over_of, best: bool):
+    """Streams sorted (bk, i, j, side, ...) rows; in each block, pairs across sides and components that the sketches allow.
+
+    over_of(odd bits, size, sizes) is at most 0 for those.  With ``best``, for each row and component only the pair of the
+    least.
     """
 
     def pairs(rows: list, out: list) -> None:
@@ -207,15 +241,14 @@ def _blocks(percent: int, best: bool):
         by: dict[int, list] = {}
         for r in right:
             by.setdefault(len(r[7]), []).append(r)
-        banks = [(np.frombuffer(b"".join(r[7] for r in rs), np.uint64).reshape(len(rs), -1), *(np.array([r[k] for r in rs]) for k in (4, 5, 6, 8))) for rs in by.values()]
+        banks = [(np.stack([_bits(r[7]) for r in rs]), *(np.array([r[k] for r in rs]) for k in (4, 5, 6, 8))) for rs in by.values()]
         for r in left:
-            mine = np.frombuffer(r[7], np.uint64)
+            mine = _bits(r[7])
             for bits, ids, comps, ns, lone in banks:
                 words = min(len(mine), bits.shape[1])
                 them = bits if bits.shape[1] == words else np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
                 odd = np.bitwise_count(them ^ fold(mine, words)).sum(axis=1, dtype=np.int64)
-                # |S ^ T| >= odd, and the threshold allows |S ^ T| <= (100 - p)(|S| + |T|) / (100 + p)
-                over = odd * (100 + percent) - (100 - percent) * (ns + r[6])
+                over = over_of(odd, r[6], ns)
                 hit = np.flatnonzero((over <= 0) & (comps != r[5]) & (~lone | (ids > r[4])))
                 if best and len(hit) > 1:
                     hit = hit[np.lexsort((ids[hit], over[hit], comps[hit]))]
@@ -242,7 +275,7 @@ def _blocks(percent: int, best: bool):
     return run
 
 
-def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
+def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, over_of, best: bool) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and may reach the threshold.
 
     With ``best``, for each a and component only its likeliest pair.  A bucket's members outside its main component meet
@@ -250,42 +283,61 @@ def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, percent: i
     """
     placed = members.join(comps, "id", "left").select("bk", "id", F.coalesce("comp", "id").alias("comp"))
     tally = placed.groupBy("bk", "comp").agg(F.count("*").alias("c")).groupBy("bk").agg(F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).filter("most < size")
-    mixed = placed.join(tally, "bk").join(known.select("id", "n", "parity"), "id")
+    mixed = placed.join(tally, "bk").join(known.select("id", "n", "sketch"), "id")
     lone = (F.col("comp") != F.col("main")).alias("lone")
     spread = F.xxhash64("id", "bk")
     n_left, n_right = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
-    row = ["id", "comp", "n", "parity"]
+    row = ["id", "comp", "n", "sketch"]
     left = mixed.filter(lone).select("bk", F.pmod(spread, n_left).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_right - 1)).alias("j"), F.lit(0).alias("side"), *row, lone)
     right = mixed.select("bk", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), F.pmod(spread, n_right).alias("j"), F.lit(1).alias("side"), *row, lone)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = scratch.union(left, right).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
-    found = scratch.map_arrow(dealt, _blocks(percent, best), "a long, b long, cb long, bound long")
+    found = scratch.map_arrow(dealt, _blocks(over_of, best), "a long, b long, cb long, bound long")
     return found.groupBy("a", "cb").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b") if best else found.select("a", "b").distinct()
 
 
 def linked(first: DataFrame, members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, comp) of ids with links: the components of all pairs within a bucket whose full sets reach the threshold.
 
-    first: candidate pairs (a, b) to begin with; members: (bk, id); known: (id, n, parity); sets: (id, s).
+    first: candidate pairs (a, b) to begin with; members: (bk, id); known: (id, n, odd), with the odd sketch as an array of
+    longs, or (id, n, parity), with the parity bitmap of the whole set; sets: (id, s).
     """
+    over_of = (_odd_over if "odd" in known.columns else _parity_over)(percent)
+    known = known.withColumnRenamed("odd", "sketch").withColumnRenamed("parity", "sketch")
     edges = scratch.materialize(_verify(first, sets, percent), "edges")
-    comps = components(edges)
+    comps, held = components(edges), [edges]
     # what a bucket still holds from different components: the likeliest links first, then all that are left
     for only in (True, False):
-        more = scratch.materialize(_verify(_crossing(members, comps, known, percent, only), sets, percent), "edges")
+        more = scratch.materialize(_verify(_crossing(members, comps, known, over_of, only), sets, percent), "edges")
+        held.append(more)
         if more.isEmpty():
-            # the likeliest by bound may all fail where others link
+            # the likeliest by estimate may all fail where others link
             continue
         edges = scratch.union(edges, more)
         comps = components(edges)
+    scratch.forget(*held)
     return comps
 
 
+def with_classes(rows: DataFrame, classes: DataFrame, comps: DataFrame, key: list[str]) -> DataFrame:
+    """rows (doc_id, n, key...) with comp: that of the row's class of equal sets (key..., rep, copies), else of the row.
+
+    A class of very many rows is dealt over SALT parts; a class of one row has nothing to look up by key.
+    """
+    many = classes.filter("copies > 1").join(comps, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("comp", "rep").alias("of_class"))
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(many, [*key, "salt"], "left")
+    out = out.join(comps, F.col("doc_id") == F.col("id"), "left")
+    own = F.coalesce("of_class", "comp", "doc_id")
+    return out.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, own).otherwise(F.col("doc_id"))).alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = scratch.materialize(scratch.map_arrow(docs, _features(width), FEATURES), "features")
-    classes = feats.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
+    classes = feats.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("rep is not null")
+    classes = scratch.materialize(classes, "classes")
 
     bands = feats.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bk")).distinct()
     buckets = bands.groupBy("bk").agg(F.count("*").alias("size")).filter("size > 1")
@@ -293,24 +345,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     wanted = members.select("id").distinct()
     known = scratch.materialize(
-        feats.filter("n > 0").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "odd", "parity").dropDuplicates(["id"]),
+        feats.filter("n > 0").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "odd").dropDuplicates(["id"]),
         "known",
     )
     sets = scratch.materialize(scratch.map_arrow(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), _sets(width), "id long, s binary").dropDuplicates(["id"]), "sets")
 
-    # each member and the best of its buckets' pivots
+    # each member and, of its buckets' pivots that pass the estimate, the nearest, the farthest and another
     pivots = members.groupBy("bk").agg(F.min_by("id", F.xxhash64("bk", "id")).alias("pivot"))
     star = members.join(pivots, "bk").filter("id <> pivot").select("id", "pivot").distinct()
-    mine, theirs = known.select("id", "n", "odd"), known.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
+    theirs = known.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("podd")[k])) for k in range(ODD_WORDS)))
-    scored = star.join(mine, "id").join(theirs, "pivot").filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select("id", "pivot", apart.alias("apart"))
+    scored = star.join(known, "id").join(theirs, "pivot").filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select("id", "pivot", apart.alias("apart")).filter(F.col("apart") <= apart_limit(percent))
     best = scored.groupBy("id").agg(F.min(F.struct("apart", "pivot")).alias("x"), F.max(F.struct("apart", "pivot")).alias("y"), F.min_by("pivot", F.xxhash64("id", "pivot")).alias("z"))
     best = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x.pivot", "z", "y.pivot"))).alias("b"))
     comps = linked(best, members, known, sets, percent)
+    scratch.forget(members, known, sets)
 
-    out = feats.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").join(comps, F.col("rep") == F.col("id"), "left")
-    comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    out = with_classes(feats.select("doc_id", "n", "d1", "d2"), classes, comps, ["n", "d1", "d2"])
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

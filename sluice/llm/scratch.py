@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 KEY = "spark.checkpoint.dir"
 #: Bytes in an Arrow batch, about.
 BATCH_BYTES = 4 << 20
+#: Narrow rows in a file of a counted table, about.
+FILE_ROWS = 50_000
 #: Rows of one id each that a broadcast may hold.
 BROADCAST_IDS = 1 << 20
 
@@ -41,9 +43,14 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    rows: at most so many rows come, known from counting; a small table then isn't spread over many small files.
+    """
     path = new_dir(df.sparkSession, tag)
+    if rows is not None and rows < FILE_ROWS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path

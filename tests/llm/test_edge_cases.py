@@ -35,3 +35,30 @@ def test_chats_with_nul_signs_many_turns_and_repeated_rows(spark):
 def test_chats_of_an_empty_table(spark):
     nothing = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_trees.read(chat_trees.build(nothing, BPE), BPE).count() == 0
+
+
+def test_odd_sketches_of_similar_sets_pass_the_estimate():
+    import numpy as np
+
+    from sluice.llm import near_dedup
+
+    rng, limit, bits = np.random.default_rng(7), near_dedup.apart_limit(80), 64 * near_dedup.ODD_WORDS
+    # of 300,000 pairs at the threshold: each sample differs with a chance of 0.2 and then flips two bits
+    differ = rng.binomial(near_dedup.SAMPLES, 0.2, 300_000)
+    worst = 0
+    for n in np.unique(differ):
+        flips = rng.integers(0, bits, (int((differ == n).sum()), 2 * int(n)))
+        for part in np.array_split(flips, len(flips) // 2000 + 1):
+            odd = np.zeros((len(part), bits), np.int16)
+            np.add.at(odd, (np.arange(len(part))[:, None], part), 1)
+            worst = max(worst, int((odd & 1).sum(axis=1).max()))
+    assert worst <= limit < near_dedup.apart_limit(60)
+    # and the sketches of real sets follow the same law
+    base = rng.integers(0, 2**63, 2000).astype(np.uint64)
+    for likeness in (0.5, 0.8, 0.95):
+        n = int(2000 * (1 - likeness) / (1 + likeness))
+        pairs = [(np.unique(base), np.unique(np.concatenate([base[n:], rng.integers(0, 2**63, n).astype(np.uint64)]))) for _ in range(30)]
+        odd = [near_dedup.odd_sketches(np.stack([near_dedup.signature(x) for x in p])).view(np.uint64) for p in pairs]
+        apart = np.mean([np.bitwise_count(a ^ b).sum() for a, b in odd])
+        flips = 2 * near_dedup.SAMPLES * (1 - likeness)
+        assert abs(apart - bits * (1 - (1 - 2 / bits) ** flips) / 2) < 8
