@@ -14,11 +14,13 @@ item's.
 
 The documents' windows first pass a bitmap of BITMAP_BITS bits that is made from the items' hashes by aggregation; its
 size is fixed, and what a fuller bitmap lets through wrongly the join removes.  Items of fewer than WINDOW words are
-matched whole, those of fewer than SHORTEST not at all.  Windows of an item with fewer than two plain words in four
-aren't used unless the item has no others.
+matched whole.  Templates that say little match unchanged only, that is their windows are hashed with the words behind
+the placeholders: those of items of fewer than PLAIN words, and windows with fewer plain words than placeholders, unless
+the item has no other windows.
 
-Nulls: a null text has no windows; rows with a null id count as no document or item.  Rows of equal doc_id are one
-document, of equal item_id one item.  Empty tables give no leaks.  Extra columns are not looked at.
+Nulls: a null text has no windows, and an item without words leaks nowhere; rows with a null id count as no document or
+item.  Rows of equal doc_id are one document, of equal item_id one item (any of them); items of equal texts are matched
+once.  Empty tables give no leaks.  Extra columns are not looked at.  Very long texts are matched whole.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.llm import kernels as K
 from sluice.llm import scratch
 
-WINDOW, RUN, SHORTEST = 8, 13, 4
+WINDOW, RUN, PLAIN = 8, 13, 4
 BITMAP_BITS = 1 << 23
 NUM, NAME, UNIT = (K.U64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
 UNITS = (
@@ -125,13 +128,14 @@ def templates(texts: list[str | None]) -> tuple[list[Template], np.ndarray]:
     return out, at
 
 
-def _windows(t: Template, size):
-    """(text, first token, hash, plain words) of all windows of ``size`` tokens that lie within a text."""
+def _windows(t: Template, size: int):
+    """(text, first token, hash of the template, hash of the words, whether it says little) of all windows of ``size``
+    tokens that lie within a text.  The hash of the words is there for windows that say little."""
     template, at = t.codes, t.at
     n = len(template) - size + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none.view(K.U64), none
+        return none, none, none.view(K.U64), none.view(K.U64), np.zeros(0, bool)
     lanes = K.lanes(size)
     total = template[:n] * lanes[0]
     for k in range(1, size):
@@ -139,12 +143,20 @@ def _windows(t: Template, size):
     text = np.searchsorted(at, np.arange(len(template)), "right") - 1
     plain = np.concatenate([[0], np.cumsum((template != NUM) & (template != NAME) & (template != UNIT))])
     ok = np.flatnonzero(text[:n] == text[size - 1 :])
-    return text[ok], ok, K.splitmix(total[ok] + K.U64(size)), (plain[size:] - plain[:-size])[ok]
-
-
-def _rows(ids, size, text, first, h, t: Template, at):
+    poor = (2 * (plain[size:] - plain[:-size])[ok] < size) | (size < PLAIN)
+    few = ok[poor]
+    words = np.zeros(len(ok), K.U64)
+    said = np.zeros(len(few), K.U64)
+    for k in range(size):
+        said += t.values[few + k] * lanes[k]
+    words[poor] = K.splitmix(said + K.U64(size + WINDOW))
+    return text[ok], ok, K.splitmix(total[ok] + K.U64(size)), words, poor
+
+
+def _rows(ids, size, text, first, h, t: Template, at, slots: bool):
+    """Rows of windows; those hashed with their words have no slots, as equal hashes have equal words."""
     vals = []
-    held = np.where((t.codes == NUM) | (t.codes == NAME) | (t.codes == UNIT), t.values, 0).astype(K.U64).view(np.int64)
+    held = np.where(slots & ((t.codes == NUM) | (t.codes == NAME) | (t.codes == UNIT)), t.values, 0).astype(K.U64).view(np.int64)
     for p in first.tolist():
         vals.append(held[p : p + size].tolist())
     counts = np.diff(at)[text]
@@ -172,21 +184,22 @@ def _of_items(batches):
             found, at = templates(texts[i:j])
             for t in found:
                 lens = np.diff(t.at)
-                for size in np.unique(np.minimum(lens[lens >= SHORTEST], WINDOW)).tolist():
-                    text, first, h, n_plain = _windows(t, size)
+                for size in np.unique(np.minimum(lens[lens > 0], WINDOW)).tolist():
+                    text, first, h, said, poor = _windows(t, size)
                     mine = np.minimum(lens[text], WINDOW) == size
-                    good = mine & (2 * n_plain >= size)
                     has = np.zeros(j - i, bool)
-                    has[text[good]] = True
-                    use = good | (mine & ~has[text])
-                    yield _rows(ids[i:j], size, text[use], first[use], h[use], t, at)
+                    has[text[mine & ~poor]] = True
+                    for use, hashes, slots in ((mine & poor, said, False), (mine & (~poor | (~has[text] & (size >= PLAIN))), h, True)):
+                        yield _rows(ids[i:j], size, text[use], first[use], hashes[use], t, at, slots)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, covered, item_words): each leak of an item (item_id, text) into a document (doc_id, text)."""
     spark = docs.sparkSession
-    items = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text").dropDuplicates(["id"])
-    index = scratch.map_arrow(items, _of_items, SCHEMA).distinct()
+    items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id"])
+    equal = items.select("item_id", F.min("item_id").over(Window.partitionBy(F.sha2("text", 256))).alias("of"))
+    items = items.join(equal.filter("item_id = of").select("item_id"), "item_id", "left_semi").withColumnRenamed("item_id", "id")
+    index = scratch.materialize(scratch.map_arrow(items, _of_items, SCHEMA).distinct(), "index")
     # BITMAP_BITS / 32 rows at most
     cells = index.groupBy(F.expr(f"cast(pmod(h, {BITMAP_BITS}) div 32 as int) as cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 32) as int))")).alias("bits")).collect()
     sizes = sorted(r.size for r in index.select("size").distinct().collect())  # WINDOW values at most
@@ -203,11 +216,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 made, at = templates(texts[i:j])
                 for t in made:
                     for size in sizes:
-                        text, first, h, _ = _windows(t, size)
-                        pos = (h & K.U64(BITMAP_BITS - 1)).astype(np.int64)
-                        hit = (bits[pos >> 5] >> (pos & 31).astype(np.uint32)) & 1 != 0
-                        if hit.any():
-                            yield _rows(ids[i:j], size, text[hit], first[hit], h[hit], t, at)
+                        text, first, h, said, poor = _windows(t, size)
+                        for some, hashes, slots in ((poor, said, False), (None if size >= PLAIN else ~poor, h, True)):
+                            use = slice(None) if some is None else np.flatnonzero(some)
+                            pos = (hashes[use] & K.U64(BITMAP_BITS - 1)).astype(np.int64)
+                            hit = np.flatnonzero((bits[pos >> 5] >> (pos & 31).astype(np.uint32)) & 1)
+                            hit = hit if some is None else use[hit]
+                            if len(hit):
+                                yield _rows(ids[i:j], size, text[hit], first[hit], hashes[hit], t, at, slots)
 
     found = scratch.map_arrow(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of_docs, SCHEMA)
     found = found.select(F.col("id").alias("doc_id"), F.col("p").alias("dp"), "h", "kind", "size", F.col("vals").alias("dvals")).distinct()
@@ -227,7 +243,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     runs = runs.withColumn("same", same).withColumn("covers", F.when(consistent, F.col("covers")).otherwise(long))
     runs = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("covered"), F.max("item_words").alias("item_words"))
     enough = (F.col("covered") >= RUN) | (2 * F.col("covered") >= F.col("item_words"))
-    return runs.filter(enough).select("doc_id", "item_id", F.col("covered").cast("long"), F.col("item_words").cast("long"))
+    found = runs.filter(enough).select("doc_id", F.col("item_id").alias("of"), F.col("covered").cast("long"), F.col("item_words").cast("long"))
+    return found.join(equal, "of").select("doc_id", "item_id", "covered", "item_words")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
