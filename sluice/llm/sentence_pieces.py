@@ -11,7 +11,12 @@ The model is a BPE, so an edge isn't scored but admitted: a row of pieces is the
 neighbours is one that the merges would not have crossed, and every prefix has one such row.  So relaxing keeps, for each
 position, the one piece that ends there and fits the piece before it.  Results equal the library's.
 
-Nulls: a null text, as an empty one, has no pieces and decodes to the empty text.  Repeated rows are encoded alike.
+A chunk falls apart further wherever no occurrence of a piece reaches across, as no merge can; the parts are relaxed side
+by side, and one that stays long, such as one sign thousands of times over, by itself.  A chunk of more than MATCH_CHARS
+characters is matched in windows.
+
+Nulls: a null text, as an empty one, has no pieces and decodes to the empty text.  Repeated rows are encoded alike.  An
+empty table stays empty.  Extra columns are kept; those of the names added are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from sluice.llm import scratch
 
 SPACE = 0x2581
 #: Characters of texts whose new chunks are gathered, and of new chunks under one suffix array.
-BATCH_CHARS, MATCH_CHARS = 3_000_000, 300_000
+BATCH_CHARS, MATCH_CHARS = 1_500_000, 150_000
+#: Characters from which a part is relaxed by itself.
+LONG = 512
 
 
 class Model:
@@ -158,30 +165,25 @@ class Model:
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids and the number of ids of each chunk; a chunk is one unknown character or all known ones."""
+        if len(chunks) == 1 and len(chunks[0]) > MATCH_CHARS:
+            ids = self._encode_long(chunks[0])
+            return ids, np.array([len(ids)])
         codes = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         text = self.char[codes]
         text[codes == 0] = 1
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         start = np.cumsum(sizes + 1) - sizes - 1
         position, piece = self.match(text)
-        within = position - start.astype(np.int32)[np.searchsorted(start, position, "right") - 1]
-        order = np.argsort(within, kind="stable")
-        position, piece, within = position[order], piece[order], within[order]
-        last = np.full(len(text) + 2, -1, np.int64)
-        first = np.zeros(len(text) + 2, bool)
-        first[start] = True
-        for a, b in zip(*_stretches(within), strict=True):
-            at, p = position[a:b], piece[a:b]
-            before = last[at]
-            ok = first[at]
-            live = np.flatnonzero((before >= 0) & ~ok)
-            ok[live] = self.fits(before[live], p[live])
-            last[at[ok] + self.lens[p[ok]]] = p[ok]
+        last = self._relax(position, piece, start, len(text))
         # back from each chunk's end
         out: list[tuple[np.ndarray, np.ndarray]] = []
         known = text[start] > 1
         chunk, at = np.flatnonzero(known), (start + sizes)[known]
         while len(chunk):
+            if len(chunk) == 1:
+                p = self._back(last, int(start[chunk[0]]), int(at[0]))
+                out.append((np.full(len(p), chunk[0]), p))
+                break
             p = last[at]
             out.append((chunk, p))
             at = at - self.lens[p]
@@ -195,6 +197,87 @@ class Model:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=len(chunks))
 
+    def _back(self, last: np.ndarray, start: int, at: int) -> np.ndarray:
+        """The pieces from start to at."""
+        out, piece, lens = [], last[start : at + 1].tolist(), self.lens.tolist()
+        while at > start:
+            out.append(piece[at - start])
+            at -= lens[out[-1]]
+        return np.array(out[::-1], np.int64)
+
+    def _free(self, position: np.ndarray, piece: np.ndarray, n: int) -> np.ndarray:
+        """For each of n + 1 places whether no occurrence of a piece reaches across."""
+        lens = self.lens[piece]
+        wide = lens > 1
+        over = np.bincount(position[wide] + 1, minlength=n + 2) - np.bincount(position[wide] + lens[wide], minlength=n + 2)
+        return np.cumsum(over)[: n + 1] == 0
+
+    def _relax(self, position: np.ndarray, piece: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        """For each place of n characters the piece that ends there, -1 for none; chunks begin at start."""
+        last = np.full(n + 2, -1, np.int64)
+        first = np.zeros(n + 2, bool)
+        first[:n] = self._free(position, piece, n)[:n]
+        first[start] = True
+        begin = np.flatnonzero(first)
+        part = np.searchsorted(begin, position, "right") - 1
+        long = np.diff(np.append(begin, n))[part] > LONG
+        for k in np.unique(part[long]).tolist():
+            mine = np.flatnonzero(part == k)
+            self._relax_long(position[mine], piece[mine], int(begin[k]), last)
+        position, piece, part = position[~long], piece[~long], part[~long]
+        within = position - begin[part]
+        order = np.argsort(within, kind="stable")
+        position, piece, within = position[order], piece[order], within[order]
+        for a, b in zip(*_stretches(within), strict=True):
+            at, p = position[a:b], piece[a:b]
+            before = last[at]
+            ok = first[at]
+            live = np.flatnonzero((before >= 0) & ~ok)
+            ok[live] = self.fits(before[live], p[live])
+            last[at[ok] + self.lens[p[ok]]] = p[ok]
+        return last
+
+    def _relax_long(self, position: np.ndarray, piece: np.ndarray, begin: int, last: np.ndarray) -> None:
+        """Relaxes one part from left to right; pairs of pieces recur, so what fits is looked up."""
+        order = np.argsort(position, kind="stable")
+        ends = {0: -1}
+        known: dict[tuple[int, int], bool] = {}
+        lens = self.lens.tolist()
+        for at, p in zip((position[order] - begin).tolist(), piece[order].tolist(), strict=True):
+            before = ends.get(at)
+            if before is None:
+                continue
+            if before >= 0:
+                fit = known.get((before, p))
+                if fit is None:
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    fit = known[before, p] = bool(self.fits(np.array([before]), np.array([p]))[0])
+                if not fit:
+                    continue
+            ends[at + lens[p]] = p
+        del ends[0]
+        last[np.fromiter(ends, np.int64, len(ends)) + begin] = np.fromiter(ends.values(), np.int64, len(ends))
+
+    def _encode_long(self, chunk: str) -> np.ndarray:
+        """The ids of a very long chunk, window by window; a window ends where no piece reaches across."""
+        out, a, width, most = [], 0, MATCH_CHARS, int(self.lens.max())
+        while a < len(chunk):
+            text = self.char[np.frombuffer(chunk[a : a + width].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            position, piece = self.match(text)
+            cut = len(text)
+            if a + width < len(chunk):
+                free = np.flatnonzero(self._free(position, piece, cut)[1 : max(1, cut - most)]) + 1
+                if not len(free):
+                    width *= 2
+                    continue
+                cut = int(free[-1])
+            inside = position < cut
+            last = self._relax(position[inside], piece[inside], np.zeros(1, np.int64), cut)
+            out.append(self.ids[self._back(last, 0, cut)])
+            a, width = a + cut, MATCH_CHARS
+        return np.concatenate(out)
+
     def _cut(self, texts: list[str | None]):
         joined = "".join(f" {t}" for t in texts if t).replace(" ", chr(SPACE))
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
