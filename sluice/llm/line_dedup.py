@@ -1,7 +1,7 @@
 """Cross-site boilerplate lines: lines that stand on many distinct sites go, but for their first occurrence.
 
 A line is its text between line feeds without spaces at either end; it counts if it has at least ``min_words`` words,
-parted by single spaces; with min_words = 1 every line that isn't blank counts.
+parted by single spaces; with min_words = 1, as the query and the pipeline have it, every line that isn't blank counts.
 Its spread is the number of distinct sites (``source``) that it stands on.  Every line hash gets a HyperLogLog sketch of
 its sites, merged by aggregation, which starts before the shuffle.  Where the estimate lies near the threshold the
 distinct sites are counted exactly; elsewhere the estimate decides.  A line of at least min_sites sites is taken out of
@@ -11,7 +11,8 @@ One shuffle of line hashes, small ones of candidates, and one of the texts, whic
 
 Nulls: a null text stays null; a null source is no site; a null doc_id never holds the first occurrence, so rows
 without one lose such lines.  Rows of equal doc_id are treated alike, each by itself.  Empty texts and tables stay.
-A document of which no line remains has the empty text.
+A document of which no line remains has the empty text.  A text of very many lines is split like any other; its places to
+drop are one array.  Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.scratch import union
+from sluice.llm.scratch import fresh, union
 
 MIN_SITES = 10
 MIN_WORDS = 4
+#: What a line that isn't blank has.
+FULL = r"[^\x09-\x0D ]"
 #: log2 of the sketch's registers; its relative standard error is about 1.04 / sqrt(2**LG_K).
 LG_K = 12
 
@@ -31,7 +34,7 @@ def line_hash(line: Column, min_words: int) -> Column:
     """A line's 64-bit hash, null where it doesn't count."""
     bare = F.trim(line)
     if min_words <= 1:
-        return F.when(bare.rlike(r"\S"), F.xxhash64(bare))
+        return F.when(bare.rlike(FULL), F.xxhash64(bare))
     return F.when(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) >= min_words - 1, F.xxhash64(bare))
 
 
@@ -62,25 +65,25 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = M
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
     """docs with text without the boilerplate and removed_lines added (a column of that name is replaced)."""
     docs = docs.drop("removed_lines")
+    doc, version, gone = fresh(docs.columns, "doc", "version", "gone")
     flagged = spread_lines(docs, min_sites, min_words, lg_k)
-    # a text's hash tells rows of equal doc_id apart
-    version = F.xxhash64("text").alias("_version")
-    held = _lines(docs, min_words, F.col("doc_id").alias("_doc"), version).join(flagged, "h")
-    held = held.groupBy("_doc", "_version", "h").agg(F.collect_list("i").alias("at"), F.first("first_doc").alias("first_doc"))
-    gone = F.when(F.col("_doc") == F.col("first_doc"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
-    held = held.groupBy("_doc", "_version").agg(F.flatten(F.collect_list(gone)).alias("_gone"))
-    cut = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left")
+    # a text's hash tells rows of equal doc_id apart; equal rows lose the same places
+    held = _lines(docs, min_words, F.col("doc_id").alias(doc), F.xxhash64("text").alias(version)).join(flagged, "h")
+    held = held.groupBy(doc, version, "h").agg(F.collect_set("i").alias("at"), F.first("first_doc").alias("first_doc"))
+    places = F.when(F.col(doc) == F.col("first_doc"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
+    held = held.groupBy(doc, version).agg(F.flatten(F.collect_list(places)).alias(gone))
+    cut = docs.join(held, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(version)), "left")
     # the parts are bound once, as an argument of the outer transform
-    rest = lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n")
-    some = F.size("_gone") > 0
+    rest = lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i)), "\n")
+    some = F.size(gone) > 0
     text = F.when(some, F.get(F.transform(F.array(F.split("text", "\n")), rest), F.lit(0))).otherwise(F.col("text")).alias("text")
-    return cut.select(*(text if c == "text" else F.col(c) for c in docs.columns), F.when(some, F.size("_gone")).otherwise(0).cast("long").alias("removed_lines"))
+    return cut.select(*(text if c == "text" else F.col(c) for c in docs.columns), F.when(some, F.size(gone)).otherwise(0).cast("long").alias("removed_lines"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without cross-site boilerplate lines."""
+    """All documents without cross-site boilerplate lines of any length."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return dedup_lines(docs).select("doc_id", "text", "removed_lines")
+    return dedup_lines(docs, min_words=1).select("doc_id", "text", "removed_lines")
 
 
 OP6_SQL = f"""
@@ -89,7 +92,7 @@ with l as (
   from (select doc_id, source, parts, unnest(range(1, len(parts) + 1)) as i
         from (select doc_id, source, string_split(text, chr(10)) as parts from documents where text is not null))
 ), k as (
-  select *, length(bare) - length(replace(bare, ' ', '')) >= {MIN_WORDS - 1} as counts from l
+  select *, regexp_matches(bare, '{FULL}') as counts from l
 ), s as (
   select bare, min(doc_id) as first_doc from k where counts group by bare having count(distinct source) >= {MIN_SITES}
 ), m as (
