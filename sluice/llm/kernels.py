@@ -54,6 +54,20 @@ def word_table(digits: bool = True) -> np.ndarray:
     return _tables[digits]
 
 
+_letters: np.ndarray | None = None
+
+
+def letters() -> np.ndarray:
+    """By code point: whether it is a letter."""
+    global _letters
+    if _letters is None:
+        import unicodedata
+
+        _letters = np.zeros(0x110000, bool)
+        _letters[:0x33480] = [unicodedata.category(chr(c))[0] == "L" for c in range(0x33480)]
+    return _letters
+
+
 def slices(texts: Sequence[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` characters; a longer text stands alone."""
     begin, total = 0, 0

@@ -8,8 +8,9 @@ lacks the n-gram.  The nearest profile names the language; ties go to the smalle
 Profiles are fitted on about ``per_lang`` labelled documents of each language at most, the distinct texts whose hash
 falls in the matching share (a documented bound, see fit()); counts over them are exact.
 
-Nulls and blanks: a null text or one without a letter is ``und`` with score 0.  Without any labelled row every text is
-``und``.  Repeated rows: each is predicted.  Whole texts count, whatever their length.
+Nulls and blanks: a null text or one without a letter (marks and digits are none) is ``und`` with score 0.  Without any
+labelled row every text is ``und``.  An empty table stays empty.  Repeated rows: each is predicted; a fit takes equal
+texts of a language once.  Whole texts count, whatever their length.  Extra columns are kept, lang_pred and score replaced.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ PER_LANG = 1500
 #: A code point takes 21 bits of an n-gram's code.
 BITS = 21
 
+
 def _grams(texts: list[str | None]):
-    """For each text the codes of its n-grams, occurrence by occurrence.  Texts come in slices of bounded size.
+    """For each text the codes of its n-grams, occurrence by occurrence; none for a text without a letter.  Texts come in
+    slices of bounded size.
 
     Code points are renumbered within a slice so that codes are small enough to count in an array; ``decode`` turns
     them into codes that mean the same everywhere.
@@ -41,6 +44,8 @@ def _grams(texts: list[str | None]):
     for a, b in K.slices(texts, 400_000):
         _, codes, bounds = K.flat_codes(texts[a:b])
         low = K.word_table(False)[codes]
+        count = np.concatenate([[0], np.cumsum(K.letters()[codes])])
+        lettered = (count[bounds[1:]] > count[bounds[:-1]]).tolist()
         # each text on its own between spaces: a separator before every text and after the last
         padded = np.zeros(len(low) + b - a + 1, np.uint32)
         at = np.arange(len(low)) + np.repeat(np.arange(1, b - a + 1), np.diff(bounds))
@@ -72,7 +77,10 @@ def _grams(texts: list[str | None]):
             out[k] = (al[x // (size * size)] << BITS | al[x // size % size]) << BITS | al[x % size]
             return out
 
-        for s, t in zip(starts.tolist(), ends.tolist(), strict=True):
+        for s, t, some in zip(starts.tolist(), ends.tolist(), lettered, strict=True):
+            if not some:
+                yield np.zeros(0, np.int64), size, decode
+                continue
             part, wide = slice(s, t - 1), slice(s, t)
             m, p = mid[part], pairs[wide]
             yield np.concatenate([uni[part][m], bi[wide][p], tri[part][m]]), size, decode
