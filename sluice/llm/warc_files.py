@@ -9,7 +9,8 @@ are revisits that refer to it and carry no payload.  Smaller payloads are respon
 
 Nulls: a null html is the empty payload, a null url the empty target.  A null page_id stays null and is a response.
 Repeated rows of the largest page_id are responses each.  An empty table makes no file.  Control characters and
-non-ASCII signs of a url are percent-encoded.
+non-ASCII signs of a url are percent-encoded.  A page of any length is written and read in one piece, and normalised in
+pieces of bounded size.  Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from sluice.llm import scratch
 
 REVISIT_FROM = 1000
+#: Parts that the pages of one digest are dealt over.
+SALT = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PIECE = 1 << 20
 EPOCH = "1970-01-01T00:00:00Z"
@@ -166,9 +169,15 @@ def read_file(target: str) -> Iterator[tuple[int | None, int, str, str, int | No
 def with_references(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the page that holds the same payload, where another does."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = pages.withColumn("digest", F.when(F.octet_length("html") >= revisit_from, F.sha1(F.encode("html", "UTF-8"))))
-    groups = keyed.filter("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keyed.join(groups, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    # without the payloads, those of one digest are dealt over SALT parts
+    keyed = pages.filter(F.col("page_id").isNotNull() & (F.octet_length("html") >= revisit_from)).select("page_id", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("digest"))
+    groups = keyed.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
+    found = keyed.join(groups, ["digest", "salt"]).filter("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    # the page_id spreads rows whose digest is null or frequent
+    digest = F.when(F.octet_length("html") >= revisit_from, F.unhex(F.sha1(F.encode("html", "UTF-8"))))
+    named = pages.filter("page_id is not null").withColumn("digest", digest).join(found, ["page_id", "digest"], "left")
+    return scratch.union(named.select("page_id", "url", "html", "refers_to"), pages.filter("page_id is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write(pages: DataFrame, out: str, level: int = 1) -> list[str]:
