@@ -1,23 +1,28 @@
 """Format-preserving pseudonyms of personal numbers, dates and addresses, by keyed Feistel networks in SQL functions.
 
-Found and permuted within their format, so that equal values have equal pseudonyms in all documents:
+Found and permuted within their format, so that equal values have equal pseudonyms in all documents.  Of numbers the
+digits alone are permuted and put back into the places where digits stood, so a number stays linked however it is parted:
 
 * payment cards (13 to 19 digits, also in groups of 4-4-4-4 or 4-6-5); one that passes the Luhn check passes it again,
 * IBANs of the registry's lengths: the country stays; one that passes the mod-97 check passes it again,
 * other numbers of 9 to 19 digits, telephone numbers (the country code stays; national ones as nnn nnn nnnn or with a
-  leading 0) and nnn-nn-nnnn numbers: digits for digits,
+  leading 0) and nnn-nn-nnnn numbers: digits for digits.  Nine digits that can be a social security number give one that
+  can be, ten that can be a North American telephone number give one that can be,
 * IPv4 addresses whose parts are at most 255: on 2 x 16 bits,
-* calendar dates (yyyy-mm-dd, d/m/yyyy, d.m.yyyy, and m/d/yyyy where only that can be) that exist, 1000 to 2999: on the
-  146,097 = 189 x 773 days of their 400 years (1800 to 2199 and so on), so that every date gives a date,
+* calendar dates (yyyy-mm-dd, d/m/yyyy, d.m.yyyy, and m/d/yyyy where only that can be) that exist, of the years 1 to
+  9999: on the 146,097 = 189 x 773 days of their 400 years (1800 to 2199 and so on; what is left at either end is a
+  range of its own), so that every date gives a date,
 * e-mail addresses: the part before the @, letters for letters and digits for digits,
 * hexadecimal secrets of 32 to 64 signs.
 
 A network has an even number of rounds over two halves; a round adds a keyed SHA-256 stream of one half to the signs of
 the other within each sign's alphabet, which is invertible for whoever has the key.  DataFrame functions only; only
-texts that pass HOT, which holds for every text with a value, are searched further.
+texts that pass HOT, which holds for every text with a value, are searched further.  The key comes into the plan as the
+result of a subquery, so neither plans nor event logs show it.
 
-Nulls: a null text stays null.  Texts without such values, empty ones included, stay as they are.  Repeated rows are
-treated alike.  Extra columns are kept; n_replaced is added (a column of that name is replaced).
+Nulls: a null text stays null.  Texts without such values, empty ones included, and empty tables stay as they are.
+Repeated rows are treated alike.  Very long texts are searched whole.  Extra columns are kept, whatever their names;
+n_replaced, the number of values that changed, is added (a column of that name is replaced).
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm import scratch
+
 #: A production job gives its own key.
 KEY = "no secret"
 ROUNDS = 6
@@ -37,7 +44,7 @@ HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?![0-9]|\.[0-9])"
 _day, _month = "(?:0[1-9]|(?<![0-9][/.])[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])"
-DATE = rf"(?<![0-9])(?:[12][0-9]{{3}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|{_day}([/.]){_month}\1[12][0-9]{{3}}|(?<![0-9]/){_month}/(?:1[3-9]|2[0-9]|3[01])/[12][0-9]{{3}})(?![0-9])"
+DATE = rf"(?<![0-9])(?:[0-9]{{4}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|{_day}([/.]){_month}\1[0-9]{{4}}|(?<![0-9]/){_month}/(?:1[3-9]|2[0-9]|3[01])/[0-9]{{4}})(?![0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|(?<![0-9])[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{9,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
@@ -56,13 +63,23 @@ IBAN = rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_bans})(?![0-9A-Za-z])"
 ANY = "|".join([EMAIL, HEX, DATE.replace(r"\1", "[/.]"), IPV4, IBAN, CARD, SSN, PHONE, ABROAD, NATIONAL])
 #: What every text with a value of ANY holds.
 HOT = r"[0-9]{2}|@|\+[0-9]|[0-9]\.[0-9]\.[0-9]\.[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
-#: Days of 1800-2199 and their factors.
+#: Days from 1800-01-01 on fall into ranges of 400 years, LONG x SHORT days each; the first and last years of the
+#: calendar are ranges of their own: (first day, days = long x short).
 FIRST_DAY, LONG, SHORT = "1800-01-01", 773, 189
+ENDS = {"low": ("0001-01-01", 5591, 13), "high": ("9800-01-01", 397, 184)}
+#: Areas, groups and serials of social security numbers: 898 x 99 x 9999 = SSN_LEFT x SSN_RIGHT.
+SSN_LEFT, SSN_RIGHT = 898 * 33, 3 * 9999
+#: North American numbers: 800 areas x 800 exchanges x 10,000 lines = NANP_HALF squared.
+NANP_HALF = 80_000
+
 
+def _key(key: str | Column) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
 
-def _stream(key: str, half: Column, turn: Column) -> Column:
-    """64 hexadecimal digits that depend on the key, the round and a half."""
-    return F.sha2(F.concat_ws("|", F.lit(key), turn.cast("string"), half), 256)
+
+def _stream(key: str | Column, tweak: str, half: Column, turn: Column) -> Column:
+    """64 hexadecimal digits that depend on the key, the kind of value, the round and a half."""
+    return F.sha2(F.concat_ws("|", _key(key), F.lit(tweak), turn.cast("string"), half), 256)
 
 
 def _shifted(text: Column, stream: Column, alphabets: list[str]) -> Column:
@@ -79,20 +96,20 @@ def _shifted(text: Column, stream: Column, alphabets: list[str]) -> Column:
     return F.array_join(F.transform(F.split(text, ""), sign), "")
 
 
-def permuted(text: Column, alphabets: list[str], key: str, tweak: str) -> Column:
+def permuted(text: Column, alphabets: list[str], key: str | Column, tweak: str) -> Column:
     """The Feistel network over a text's signs; signs of no alphabet stay in place."""
     middle = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), middle).alias("l"), F.substr(text, middle + 1).alias("r"))
     turns = F.array(*(F.lit(k) for k in range(ROUNDS)))
-    step = lambda s, k: F.struct(s["r"].alias("l"), _shifted(s["l"], _stream(f"{key}|{tweak}", s["r"], k), alphabets).alias("r"))
+    step = lambda s, k: F.struct(s["r"].alias("l"), _shifted(s["l"], _stream(key, tweak, s["r"], k), alphabets).alias("r"))
     return F.aggregate(turns, start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def _pair(left: Column, right: Column, n_left: int, n_right: int, key: str, tweak: str) -> Column:
+def _pair(left: Column, right: Column, n_left: int, n_right: int, key: str | Column, tweak: str) -> Column:
     """The Feistel network over a pair of numbers; gives the struct (l, r)."""
 
     def step(s: Column, k: Column) -> Column:
-        number = lambda half, n: F.conv(F.substr(_stream(f"{key}|{tweak}", half.cast("string"), k), F.lit(1), F.lit(8)), 16, 10).cast("long") % n
+        number = lambda half, n: F.conv(F.substr(_stream(key, tweak, half.cast("string"), k), F.lit(1), F.lit(8)), 16, 10).cast("long") % n
         odd = k % 2 == 1
         return F.struct(
             F.when(odd, s["l"]).otherwise((s["l"] + number(s["r"], n_left)) % n_left).alias("l"),
@@ -115,11 +132,63 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), part), F.lit(0), lambda a, b: a + b)
 
 
-def _card(x: Column, key: str) -> Column:
-    bare = lambda t: F.regexp_replace(t, "[^0-9]", "")
-    body = permuted(F.substr(x, F.lit(1), F.length(x) - 1), [DIGITS], key, "card")
-    checked = F.transform(F.array(body), lambda b: F.concat(b, ((10 - _luhn(F.concat(bare(b), F.lit("0"))) % 10) % 10).cast("string")))[0]
-    return F.when((F.length(bare(x)) >= 13) & (_luhn(bare(x)) % 10 == 0), checked).otherwise(permuted(x, [DIGITS], key, "number"))
+def _bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _bare(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def _filled(x: Column, digits: Column) -> Column:
+    """x with the given digits in the places of its own."""
+    put = lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(digits, F.length(_bare(F.substr(x, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(x, ""), put), "")
+
+
+def _part(digits: Column, at: int, n: int) -> Column:
+    return F.substr(digits, F.lit(at), F.lit(n)).cast("int")
+
+
+def _social(d: Column, key: str | Column) -> Column:
+    """Nine digits: area 001 to 899 but for 666, group 01 to 99, serial 0001 to 9999."""
+    area = _part(d, 1, 3)
+    index = ((F.when(area > 666, area - 2).otherwise(area - 1)).cast("long") * 99 + _part(d, 4, 2) - 1) * 9999 + _part(d, 6, 4) - 1
+
+    def text(i: Column) -> Column:
+        area = F.floor(i / (99 * 9999)) + 1
+        return F.concat(F.lpad(F.when(area > 665, area + 1).otherwise(area).cast("string"), 3, "0"), F.lpad((F.floor(i / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((i % 9999 + 1).cast("string"), 4, "0"))
+
+    pair = _pair(F.floor(index / SSN_RIGHT), index % SSN_RIGHT, SSN_LEFT, SSN_RIGHT, key, "social")
+    return _bound(_bound(pair, lambda p: p["l"] * SSN_RIGHT + p["r"]), text)
+
+
+def _american(d: Column, key: str | Column) -> Column:
+    """Ten digits: area and exchange from 200 to 999."""
+    line = _part(d, 7, 4)
+    pair = _pair((_part(d, 1, 3) - 200) * 100 + F.floor(line / 100), (_part(d, 4, 3) - 200) * 100 + line % 100, NANP_HALF, NANP_HALF, key, "american")
+    text = lambda p: F.concat((F.floor(p["l"] / 100) + 200).cast("string"), (F.floor(p["r"] / 100) + 200).cast("string"), F.lpad((p["l"] % 100).cast("string"), 2, "0"), F.lpad((p["r"] % 100).cast("string"), 2, "0"))
+    return _bound(pair, text)
+
+
+def numbered(d: Column, key: str | Column) -> Column:
+    """The pseudonym of a number's digits, of the same length and of the same kind of number."""
+    n = F.length(d)
+    checked = lambda body: F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+    social = d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+    american = d.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+    card = (n >= 13) & (_luhn(d) % 10 == 0)
+    return (
+        F.when(social, _social(d, key))
+        .when(american, _american(d, key))
+        .when(card, _bound(permuted(F.substr(d, F.lit(1), n - 1), [DIGITS], key, "card"), checked))
+        .otherwise(permuted(d, [DIGITS], key, "number"))
+    )
+
+
+def _number(x: Column, key: str | Column) -> Column:
+    return _bound(numbered(_bare(x), key), lambda d: _filled(x, d))
 
 
 def _iban_rest(x: Column) -> Column:
@@ -134,35 +203,42 @@ def _iban_rest(x: Column) -> Column:
     return F.aggregate(F.split(signs, ""), F.lit(0), add)
 
 
-def _iban(x: Column, key: str) -> Column:
-    body = permuted(F.substr(x, F.lit(5)), [DIGITS, UPPER], key, "iban")
+def _iban(x: Column, key: str | Column) -> Column:
+    bare = F.replace(x, F.lit(" "))
+    body = permuted(F.substr(bare, F.lit(5)), [DIGITS, UPPER], key, "iban")
     country = F.substr(x, F.lit(1), F.lit(2))
-    checked = F.transform(F.array(body), lambda b: F.concat(country, F.lpad((98 - _iban_rest(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0"), b))[0]
-    return F.when(_iban_rest(x) == 1, checked).otherwise(permuted(x, [DIGITS], key, "number"))
+    checked = lambda b: F.concat(country, F.lpad((98 - _iban_rest(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0"), b)
+    new = F.when(_iban_rest(x) == 1, _bound(body, checked)).otherwise(F.concat(country, permuted(F.substr(bare, F.lit(3)), [DIGITS, UPPER], key, "number")))
+    put = lambda d: F.array_join(F.transform(F.split(x, ""), lambda c, i: F.when(c.isin(" ", ""), c).otherwise(F.substr(d, F.length(F.replace(F.substr(x, F.lit(1), i), F.lit(" "))) + 1, F.lit(1)))), "")
+    return _bound(new, put)
 
 
-def _date(x: Column, key: str) -> Column:
+def _date(x: Column, key: str | Column) -> Column:
     shapes = {r"^\d{4}-": "yyyy-MM-dd", r"^\d\d/\d\d/": "dd/MM/yyyy", r"^\d\d\.\d\d\.": "dd.MM.yyyy", r"^\d+/": "d/M/yyyy", r"^\d+\.": "d.M.yyyy"}
     shapes = {r"^\d\d/(1[3-9]|[23]\d)/": "MM/dd/yyyy", r"^\d/(1[3-9]|[23]\d)/": "M/d/yyyy"} | shapes
 
     def one(shape: str) -> Column:
         day = F.to_date(F.try_to_timestamp(x, F.lit(shape)))
-        since = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        at = F.pmod(since, F.lit(SHORT * LONG))
-        new = F.transform(F.array(_pair(at % SHORT, F.floor(at / SHORT), SHORT, LONG, key, "date")), lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (since - at + p["l"] + p["r"] * SHORT).cast("int")), shape))[0]
-        return F.when(at.isNull(), x).otherwise(new)
+
+        def moved(first: str, long: int, short: int) -> Column:
+            since = F.datediff(day, F.lit(first).cast("date"))
+            at = F.pmod(since, F.lit(short * long))
+            return _bound(_pair(at % short, F.floor(at / short), short, long, key, "date"), lambda p: F.date_format(F.date_add(F.lit(first).cast("date"), (since - at + p["l"] + p["r"] * short).cast("int")), shape))
+
+        low, high = F.year(day) < 200, F.year(day) >= 9800
+        return F.when(day.isNull(), x).when(low, moved(*ENDS["low"])).when(high, moved(*ENDS["high"])).otherwise(moved(FIRST_DAY, LONG, SHORT))
 
     return reduce(lambda out, k: F.when(x.rlike(k), one(shapes[k])).otherwise(out), reversed(shapes), x)
 
 
-def _ipv4(x: Column, key: str) -> Column:
+def _ipv4(x: Column, key: str | Column) -> Column:
     part = lambda i: F.split(x, r"\.")[i].cast("int")
     pair = _pair(part(0) * 256 + part(1), part(2) * 256 + part(3), 65536, 65536, key, "ipv4")
     text = lambda p: F.concat_ws(".", *(F.floor(p[h] / 256).cast("string") if hi else (p[h] % 256).cast("string") for h in "lr" for hi in (True, False)))
-    return F.transform(F.array(pair), text)[0]
+    return _bound(pair, text)
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str | Column = KEY) -> Column:
     """The pseudonym of one found value."""
     local = F.substring_index(x, "@", 1)
     code = F.regexp_extract(x, rf"^(?:\+{CALLING}[ .\-]?|\+[0-9]{{1,3}}[ .\-]?)?", 0)
@@ -174,18 +250,30 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
         .when(x.rlike(whole(r"\d{4}-\d\d-\d\d|\d\d?[/.]\d\d?[/.]\d{4}")), _date(x, key))
         .when(x.rlike(whole(IPV4)), _ipv4(x, key))
         .when(x.rlike("^[A-Z]{2}"), _iban(x, key))
-        .when(x.rlike(whole(CARD)), _card(x, key))
-        .otherwise(F.concat(code, permuted(F.substr(x, F.length(code) + 1), [DIGITS], key, "number")))
+        .otherwise(F.concat(code, _number(F.substr(x, F.length(code) + 1), key)))
     )
 
 
+def secret(spark: SparkSession, key: str) -> Column:
+    """The key as a subquery over a relation of the driver's, whose rows no plan shows."""
+    jvm = spark.sparkContext._jvm
+    rows, args = jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 1)
+    args[0] = key
+    rows.add(jvm.org.apache.spark.sql.RowFactory.create(args))
+    table = spark._jsparkSession.createDataFrame(rows, jvm.org.apache.spark.sql.types.StructType.fromDDL("k string"))
+    return DataFrame(table, spark).scalar()
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with the values in text replaced and n_replaced added."""
     docs = docs.drop("n_replaced")
-    hot = docs.withColumn("_found", F.when(F.col(text).rlike(HOT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    some = F.size("_found") > 0
-    new = F.when(some, F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform("_found", lambda x: pseudonym(x, key)), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")).otherwise(F.col(text)).alias(text)
-    return hot.select(*(new if c == text else F.col(c) for c in docs.columns), F.greatest(F.coalesce(F.size("_found"), F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))
+    found, by, new = scratch.fresh(docs.columns, "found", "by", "new")
+    hot = docs.withColumn(by, secret(docs.sparkSession, key)).withColumn(found, F.when(F.col(text).rlike(HOT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    hot = hot.withColumn(new, F.transform(found, lambda x: F.coalesce(pseudonym(x, F.col(by)), x)))
+    some = F.size(found) > 0
+    put = F.when(some, F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")).otherwise(F.col(text)).alias(text)
+    changed = F.size(F.filter(F.zip_with(found, new, lambda x, y: x != y), lambda x: x))
+    return hot.select(*(put if c == text else F.col(c) for c in docs.columns), F.when(some, changed).otherwise(0).cast("long").alias("n_replaced"))
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
