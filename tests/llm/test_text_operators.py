@@ -220,7 +220,7 @@ def test_leaks_with_inconsistent_slots(spark):
 def test_pseudonyms(spark):
     texts = ["4111 1111 1111 1111 or 4111111111111111", "a.b9@mail7.example.com, +1 (017) 555-7713, 97.51.17.173 on 2021-02-28 or 31/12/1999, not 2021-02-30", "no 6.5 value, v3.0", None, "", "again 97.51.17.173 and 4111111111111111"]
     rows = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, texts)).collect()}
-    assert [rows[i].n_replaced for i in range(6)] == [2, 6, 0, 0, 0, 2]
+    assert [rows[i].n_replaced for i in range(6)] == [2, 5, 0, 0, 0, 2]
     assert rows[2].text == texts[2] and rows[3].text is None and rows[4].text == ""
     for i, values in ((0, ["4111 1111 1111 1111", "4111111111111111"]), (1, ["a.b9@", "555-7713", "97.51.17.173", "2021-02-28", "31/12/1999"])):
         assert not any(v in rows[i].text for v in values)
