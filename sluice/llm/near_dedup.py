@@ -3,8 +3,9 @@
 Every text becomes the set of its distinct word shingles.  Equal sets form a class, of which the smallest doc_id goes on.
 Banded MinHash puts classes into buckets.  The MinHash samples are folded into a 512-bit parity bitmap, the odd sketch.
 The population count of two sketches' XOR estimates their similarity, the more precisely the higher it is, and a bucket's
-pairs become candidates only if the estimate lies within MARGIN of the threshold or above (``apart_limit``).  Candidates
-are confirmed on full sets in exact integers.
+pairs become candidates only if the estimate lies within MARGIN of the threshold or above (``apart_limit``).  What passes
+meets a larger parity bitmap over the whole set, whose count bounds the symmetric difference from below, so that it
+rejects without ever losing a pair.  Candidates are confirmed on full sets in exact integers.
 
 No bucket is expanded into all its pairs.  First every member meets one pivot per bucket, and of its pivots that pass
 the estimate three are confirmed.  What a bucket still holds from different components is compared in blocks of bounded
@@ -120,7 +121,7 @@ def apart_limit(percent: int) -> int:
     return int(bits * (1 - (1 - 2 / bits) ** flips) / 2)
 
 
-FEATURES = "doc_id long, n int, d1 long, d2 long, bands array<long>, odd array<long>"
+FEATURES = "doc_id long, n int, d1 long, d2 long, bands array<long>, odd array<long>, parity binary"
 
 
 def _features(width: int):
@@ -142,8 +143,9 @@ def _features(width: int):
                         pa.array([d[1] for d in digests], pa.int64()),
                         pa.array([keys[at[k]].tolist() if k in at else [] for k in range(len(part))], pa.list_(pa.int64())),
                         pa.array([odd[at[k]].tolist() if k in at else [] for k in range(len(part))], pa.list_(pa.int64())),
+                        pa.array([parity(s) if len(s) else b"" for s in part], pa.binary()),
                     ],
-                    ["doc_id", "n", "d1", "d2", "bands", "odd"],
+                    ["doc_id", "n", "d1", "d2", "bands", "odd", "parity"],
                 )
 
     return run
@@ -211,28 +213,13 @@ def components(edges: DataFrame) -> DataFrame:
     return scratch.union(e.select(F.col("u").alias("id"), F.col("v").alias("comp")), roots)
 
 
-def _parity_over(percent: int):
-    """For parity bitmaps of whole sets: at most 0 where the threshold can be met, whatever the sets."""
-    # |S ^ T| >= odd, and the threshold allows |S ^ T| <= (100 - p)(|S| + |T|) / (100 + p)
-    return lambda odd, n, m: odd * (100 + percent) - (100 - percent) * (n + m)
-
-
-def _odd_over(percent: int):
-    """For odd sketches: at most 0 where the estimate is within the margin and the sizes allow the threshold."""
-    limit = apart_limit(percent)
-    return lambda odd, n, m: np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), odd - limit, 1)
-
-
-def _bits(sketch) -> np.ndarray:
-    return np.frombuffer(sketch, np.uint64) if isinstance(sketch, bytes) else np.array(sketch, np.int64).view(np.uint64)
-
-
-def _blocks(over_of, best: bool):
+def _blocks(percent: int, best: bool):
     """Streams sorted (bk, i, j, side, ...) rows; in each block, pairs across sides and components that the sketches allow.
 
-    over_of(odd bits, size, sizes) is at most 0 for those.  With ``best``, for each row and component only the pair of the
-    least.
+    Odd sketches (where there are any) come first, then the bitmaps of the sets.  With ``best``, for each row and component
+    only the pair of the least bound.
     """
+    limit = apart_limit(percent)
 
     def pairs(rows: list, out: list) -> None:
         left, right = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
@@ -241,19 +228,32 @@ def _blocks(over_of, best: bool):
         by: dict[int, list] = {}
         for r in right:
             by.setdefault(len(r[7]), []).append(r)
-        banks = [(np.stack([_bits(r[7]) for r in rs]), *(np.array([r[k] for r in rs]) for k in (4, 5, 6, 8))) for rs in by.values()]
+        banks = []
+        for rs in by.values():
+            odd = np.array([r[9] for r in rs], np.int64).view(np.uint64) if rs[0][9] is not None else None
+            banks.append((np.frombuffer(b"".join(r[7] for r in rs), np.uint64).reshape(len(rs), -1), *(np.array([r[k] for r in rs]) for k in (4, 5, 6, 8)), odd))
         for r in left:
-            mine = _bits(r[7])
-            for bits, ids, comps, ns, lone in banks:
-                words = min(len(mine), bits.shape[1])
-                them = bits if bits.shape[1] == words else np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
-                odd = np.bitwise_count(them ^ fold(mine, words)).sum(axis=1, dtype=np.int64)
-                over = over_of(odd, r[6], ns)
-                hit = np.flatnonzero((over <= 0) & (comps != r[5]) & (~lone | (ids > r[4])))
+            mine, sketch = np.frombuffer(r[7], np.uint64), np.array(r[9], np.int64).view(np.uint64) if r[9] is not None else None
+            for bits, ids, comps, ns, lone, odd in banks:
+                fit = (comps != r[5]) & (~lone | (ids > r[4])) & (100 * np.minimum(ns, r[6]) >= percent * np.maximum(ns, r[6]))
+                if odd is not None:
+                    fit &= np.bitwise_count(odd ^ sketch).sum(axis=1, dtype=np.int64) <= limit
+                at = np.flatnonzero(fit)
+                if not len(at):
+                    continue
+                words, them = min(len(mine), bits.shape[1]), bits[at]
+                if bits.shape[1] != words:
+                    them = np.bitwise_xor.reduce(them.reshape(len(at), -1, words), axis=1)
+                apart = np.bitwise_count(them ^ fold(mine, words)).sum(axis=1, dtype=np.int64)
+                # |S ^ T| >= apart, and the threshold allows |S ^ T| <= (100 - p)(|S| + |T|) / (100 + p)
+                over = apart * (100 + percent) - (100 - percent) * (ns[at] + r[6])
+                hit, over = at[over <= 0], over[over <= 0]
                 if best and len(hit) > 1:
-                    hit = hit[np.lexsort((ids[hit], over[hit], comps[hit]))]
-                    hit = hit[np.unique(comps[hit], return_index=True)[1]]
-                out += [(r[4], x, c, o) for x, c, o in zip(ids[hit].tolist(), comps[hit].tolist(), over[hit].tolist(), strict=True)]
+                    order = np.lexsort((ids[hit], over, comps[hit]))
+                    hit, over = hit[order], over[order]
+                    few = np.unique(comps[hit], return_index=True)[1]
+                    hit, over = hit[few], over[few]
+                out += [(r[4], x, c, o) for x, c, o in zip(ids[hit].tolist(), comps[hit].tolist(), over.tolist(), strict=True)]
 
     def written(out: list):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["a", "b", "cb", "bound"])
@@ -275,7 +275,7 @@ def _blocks(over_of, best: bool):
     return run
 
 
-def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, over_of, best: bool) -> DataFrame:
+def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and may reach the threshold.
 
     With ``best``, for each a and component only its likeliest pair.  A bucket's members outside its main component meet
@@ -283,32 +283,31 @@ def _crossing(members: DataFrame, comps: DataFrame, known: DataFrame, over_of, b
     """
     placed = members.join(comps, "id", "left").select("bk", "id", F.coalesce("comp", "id").alias("comp"))
     tally = placed.groupBy("bk", "comp").agg(F.count("*").alias("c")).groupBy("bk").agg(F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).filter("most < size")
-    mixed = placed.join(tally, "bk").join(known.select("id", "n", "sketch"), "id")
+    odd = F.col("odd") if "odd" in known.columns else F.lit(None).cast("array<long>")
+    mixed = placed.join(tally, "bk").join(known.select("id", "n", "parity", odd.alias("odd")), "id")
     lone = (F.col("comp") != F.col("main")).alias("lone")
     spread = F.xxhash64("id", "bk")
     n_left, n_right = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
-    row = ["id", "comp", "n", "sketch"]
-    left = mixed.filter(lone).select("bk", F.pmod(spread, n_left).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_right - 1)).alias("j"), F.lit(0).alias("side"), *row, lone)
-    right = mixed.select("bk", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), F.pmod(spread, n_right).alias("j"), F.lit(1).alias("side"), *row, lone)
+    row = ["id", "comp", "n", "parity"]
+    left = mixed.filter(lone).select("bk", F.pmod(spread, n_left).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_right - 1)).alias("j"), F.lit(0).alias("side"), *row, lone, "odd")
+    right = mixed.select("bk", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), F.pmod(spread, n_right).alias("j"), F.lit(1).alias("side"), *row, lone, "odd")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = scratch.union(left, right).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
-    found = scratch.map_arrow(dealt, _blocks(over_of, best), "a long, b long, cb long, bound long")
+    found = scratch.map_arrow(dealt, _blocks(percent, best), "a long, b long, cb long, bound long")
     return found.groupBy("a", "cb").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b") if best else found.select("a", "b").distinct()
 
 
 def linked(first: DataFrame, members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, comp) of ids with links: the components of all pairs within a bucket whose full sets reach the threshold.
 
-    first: candidate pairs (a, b) to begin with; members: (bk, id); known: (id, n, odd), with the odd sketch as an array of
-    longs, or (id, n, parity), with the parity bitmap of the whole set; sets: (id, s).
+    first: candidate pairs (a, b) to begin with; members: (bk, id); known: (id, n, parity) with the bitmap of the whole set
+    and, where candidates come from MinHash, odd with the odd sketch; sets: (id, s).
     """
-    over_of = (_odd_over if "odd" in known.columns else _parity_over)(percent)
-    known = known.withColumnRenamed("odd", "sketch").withColumnRenamed("parity", "sketch")
     edges = scratch.materialize(_verify(first, sets, percent), "edges")
     comps, held = components(edges), [edges]
     # what a bucket still holds from different components: the likeliest links first, then all that are left
     for only in (True, False):
-        more = scratch.materialize(_verify(_crossing(members, comps, known, over_of, only), sets, percent), "edges")
+        more = scratch.materialize(_verify(_crossing(members, comps, known, percent, only), sets, percent), "edges")
         held.append(more)
         if more.isEmpty():
             # the likeliest by estimate may all fail where others link
@@ -345,7 +344,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     wanted = members.select("id").distinct()
     known = scratch.materialize(
-        feats.filter("n > 0").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "odd").dropDuplicates(["id"]),
+        feats.filter("n > 0").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "odd", "parity").dropDuplicates(["id"]),
         "known",
     )
     sets = scratch.materialize(scratch.map_arrow(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), _sets(width), "id long, s binary").dropDuplicates(["id"]), "sets")
@@ -353,9 +352,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # each member and, of its buckets' pivots that pass the estimate, the nearest, the farthest and another
     pivots = members.groupBy("bk").agg(F.min_by("id", F.xxhash64("bk", "id")).alias("pivot"))
     star = members.join(pivots, "bk").filter("id <> pivot").select("id", "pivot").distinct()
-    theirs = known.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
+    mine, theirs = known.select("id", "n", "odd"), known.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("podd")[k])) for k in range(ODD_WORDS)))
-    scored = star.join(known, "id").join(theirs, "pivot").filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select("id", "pivot", apart.alias("apart")).filter(F.col("apart") <= apart_limit(percent))
+    scored = star.join(mine, "id").join(theirs, "pivot").filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select("id", "pivot", apart.alias("apart")).filter(F.col("apart") <= apart_limit(percent))
     best = scored.groupBy("id").agg(F.min(F.struct("apart", "pivot")).alias("x"), F.max(F.struct("apart", "pivot")).alias("y"), F.min_by("pivot", F.xxhash64("id", "pivot")).alias("z"))
     best = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x.pivot", "z", "y.pivot"))).alias("b"))
     comps = linked(best, members, known, sets, percent)
