@@ -1,6 +1,6 @@
 """Flows: DataFrames whose rows carry a signed multiplicity."""
 
-from sluice.operators.flow import Flow, Grouped
-from sluice.operators.weights import MULT, consolidate, expand, negate, union, weighted
+from sluice.operators.flow import Flow, Grouped, Probe
+from sluice.operators.weights import MULT, consolidate, expand, negate, spare, union, weighted
 
-__all__ = ["MULT", "Flow", "Grouped", "consolidate", "expand", "negate", "union", "weighted"]
+__all__ = ["MULT", "Flow", "Grouped", "Probe", "consolidate", "expand", "negate", "spare", "union", "weighted"]

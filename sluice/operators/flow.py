@@ -2,7 +2,8 @@
 
 Expressions are Columns, so whole plans stay within Catalyst.  Python functions are taken where the semantics ask for
 them: ``reduce_rows`` and the ``*_mut`` verbs, whose functions keep state between rows.  On streaming DataFrames the
-stateless verbs are the same and the stateful ones become keyed processors (sluice.streaming).
+stateless verbs are the same and the stateful ones become keyed processors (sluice.streaming); ``reduce`` with built-in
+aggregates and the ``*_mut`` verbs can't, and say so.
 """
 
 from __future__ import annotations
@@ -15,7 +16,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sluice.functions.ordering import order_key, ordered
-from sluice.operators.weights import MULT, consolidate, negate, union, values, weighted
+from sluice.operators.weights import MULT, consolidate, negate, spare, union, values, weighted
+
+
+class Probe:
+    """How far a running flow has come: times are a machine's steps or a streaming query's micro-batches, from 0."""
+
+    def __init__(self):
+        self.of = None
+
+    def attach(self, running) -> Probe:
+        """running: a Machine or a StreamingQuery over the flow."""
+        self.of = running
+        return self
+
+    def reached(self) -> int:
+        """The number of steps that are through."""
+        if self.of is None:
+            return 0
+        if hasattr(self.of, "lastProgress"):
+            last = self.of.lastProgress
+            return 0 if last is None else last["batchId"] + 1
+        return self.of.time
+
+    def less_than(self, time: int) -> bool:
+        """Whether the output hasn't reached the time yet."""
+        return self.reached() < time
 
 
 class Flow:
@@ -89,9 +115,9 @@ class Flow:
 
         return self._mut(same, order_by, key, self._schema())
 
-    def probe(self):
-        """Whether a query over this flow has taken in all that lay there."""
-        return lambda query: query.processAllAvailable()
+    def probe(self) -> Probe:
+        """A handle on the progress of what runs this flow; attach() names that."""
+        return Probe()
 
     def output(self) -> DataFrame:
         """The rows with their multiplicities, not consolidated."""
@@ -131,6 +157,8 @@ class Flow:
         return self._mut(lambda row, m: iter(function(row)), order_by, key, schema)
 
     def _mut(self, function, order_by: list[str], key: list[str] | None, schema: StructType) -> Flow:
+        if self.df.isStreaming:
+            raise NotImplementedError("a function with state between rows sees a batch as a whole; use reduce_rows on a stream")
         import pyspark.cloudpickle as pickle
 
         raw = pickle.dumps(function)
@@ -168,16 +196,17 @@ class Flow:
 
     def threshold(self, function: Callable[[Column], Column]) -> Flow:
         """Each element's multiplicity as a function of its total; zero removes it."""
+        if self.df.isStreaming:
+            return self._with(_thresholds(self.count(name := spare(self.columns, "__total")).df, name, function), True)
         total = consolidate(self.df)
         return self._with(total.withColumn(MULT, function(F.col(MULT)).cast("long")).filter(F.col(MULT) != 0), True)
 
     def count(self, name: str = "n") -> Flow:
         """Each element with its total, once."""
         if self.df.isStreaming:
-            from sluice.streaming import reduced
+            from sluice.streaming import counted
 
-            schema = StructType([*self._schema().fields, StructField(name, LongType())])
-            return reduced(self, self.columns, lambda rows: [((*r, m), 1) for r, m in rows], schema, whole=True)
+            return counted(self, self.columns, name, of_rows=False)
         return self._with(consolidate(self.df).withColumnRenamed(MULT, name), True)
 
     # --- grouping ---
@@ -193,13 +222,21 @@ class Flow:
         return Grouped(self, list(keys), [c for c in self.columns if c not in keys])
 
     def monotonic_max_by(self, *keys: str) -> Flow:
-        """The greatest row of each key, for flows that only grow.  A row's removal is an error."""
+        """The greatest row of each key, whatever the rows' multiplicities, for flows that grow: the removal of a smaller row
+        goes unnoticed, that of the greatest row of a batch is an error."""
         if self.df.isStreaming:
             from sluice.streaming import monotonic_max
 
             return monotonic_max(self, list(keys))
-        best = self._guarded().groupBy(*keys).agg(F.max(ordered(self.columns)).alias("v"))
-        return Flow(best.select(*(F.col("v")[c].alias(c) for c in self.columns)), True, self.look_back)
+        v, gone = spare(self.columns, "v"), spare(self.columns, "__gone")
+        if self.insert_only:
+            best = self.df.groupBy(*keys).agg(F.max(ordered(self.columns)).alias(v))
+        else:
+            # of equal rows a removal comes last, so the greatest tells whether it was taken back
+            best = self.df.withColumn(gone, F.col(MULT) < 0).groupBy(*keys).agg(F.max(ordered([*self.columns, gone])).alias(v))
+            fail = F.raise_error(F.concat(F.lit("a monotonic operator can't take back the greatest row "), F.to_json(v)))
+            best = best.filter(F.when(F.col(v)[gone], fail.cast("boolean")).otherwise(F.lit(True)))
+        return Flow(best.select(*(F.col(v)[c].alias(c) for c in self.columns)), True, self.look_back)
 
     def monotonic_representative_by(self, keys: list[str], order_by: list[str]) -> Flow:
         """The first row of each key in a total order that stands for the order of arrival.  A removal is an error."""
@@ -207,9 +244,9 @@ class Flow:
             from sluice.streaming import representative
 
             return representative(self, keys, order_by)
-        rest = [c for c in self.columns if c not in order_by]
-        first = self._guarded().groupBy(*keys).agg(F.min(ordered([*order_by, *rest])).alias("v"))
-        return Flow(first.select(*(F.col("v")[c].alias(c) for c in self.columns)), True, self.look_back)
+        rest, v = [c for c in self.columns if c not in order_by], spare(self.columns, "v")
+        first = self._guarded().groupBy(*keys).agg(F.min(ordered([*order_by, *rest])).alias(v))
+        return Flow(first.select(*(F.col(v)[c].alias(c) for c in self.columns)), True, self.look_back)
 
     def _guarded(self) -> DataFrame:
         if self.insert_only:
@@ -218,6 +255,12 @@ class Flow:
         return self.df.filter(F.when(F.col(MULT) < 0, fail.cast("boolean")).otherwise(F.col(MULT) > 0))
 
 
+def _thresholds(counts: DataFrame, total: str, function: Callable[[Column], Column]) -> DataFrame:
+    """A stream of totals with its retractions as multiplicities: the old total's is taken back, the new one's given."""
+    m = F.coalesce(function(F.col(total)).cast("long"), F.lit(0))
+    return counts.withColumn(MULT, F.col(MULT) * m).drop(total).filter(F.col(MULT) != 0)
+
+
 class Grouped:
     """Rows by key; each distinct value of a key has a total multiplicity.  Keys and values may share columns."""
 
@@ -248,7 +291,12 @@ class Grouped:
         return [self.flow.df.schema[n] for n in names]
 
     def reduce(self, *aggregates: Column) -> Grouped:
-        """Built-in aggregates over a key's rows; MULT holds each row's multiplicity (``weighted`` is applied)."""
+        """Built-in aggregates over a key's rows; MULT holds each row's multiplicity (``weighted`` is applied).
+
+        An aggregate can't take back what it gave, so on streams ``reduce_rows`` has to say the same.
+        """
+        if self.flow.df.isStreaming:
+            raise NotImplementedError("reduce gives no retractions on a stream; use reduce_rows")
         out = weighted(self.flow.df).groupBy(*self.keys).agg(*aggregates)
         return self._to(out, [c for c in out.columns if c not in self.keys])
 
@@ -275,6 +323,10 @@ class Grouped:
         return self._to(self._totals().groupBy(*keys).applyInArrow(run, full), [f.name for f in schema])
 
     def threshold(self, function: Callable[[Column], Column]) -> Grouped:
+        """Each value's multiplicity as a function of its total; zero removes it."""
+        if self.flow.df.isStreaming:
+            pairs = Flow(self.flow.df.select(*self._all, *self.flow._mult()), self.flow.stateful, self.flow.look_back)
+            return Grouped(pairs.threshold(function), self.keys, self.vals)
         out = self._totals().withColumn(MULT, function(F.col(MULT)).cast("long")).filter(F.col(MULT) != 0)
         return self._to(out, self.vals)
 
@@ -289,30 +341,44 @@ class Grouped:
     def count(self, name: str = "n") -> Grouped:
         """The sum of a key's totals; zero where they cancel in a key that is there."""
         if self.flow.df.isStreaming:
-            return self._streamed(lambda rows: [((sum(m for _, m in rows),), 1)], StructType([StructField(name, LongType())]), [name])
+            from sluice.streaming import counted
+
+            pairs = Flow(self.flow.df.select(*self._all, *self.flow._mult()), self.flow.stateful, self.flow.look_back)
+            return Grouped(counted(pairs, self.keys, name), self.keys, [name])
         total = F.count(F.lit(1)) if self.flow.insert_only else F.sum(MULT)
         return self._to(self._present().groupBy(*self.keys).agg(total.alias(name)), [name])
 
     def _extreme(self, pick, first: Column | None = None) -> Grouped:
-        best = self._present().groupBy(*self.keys).agg(pick(ordered(self.vals, first)).alias("__best"))
-        return self._to(best.select(*self.keys, *(F.col("__best")[v].alias(v) for v in self.vals if v not in self.keys)), self.vals)
+        best = spare(self._all, "__best")
+        out = self._present().groupBy(*self.keys).agg(pick(ordered(self.vals, first, spare(self.vals, "__first"))).alias(best))
+        return self._to(out.select(*self.keys, *(F.col(best)[v].alias(v) for v in self.vals if v not in self.keys)), self.vals)
+
+    def _stream_extreme(self, greatest: bool) -> Grouped:
+        """What only grows keeps one value for each key, else all are kept."""
+        if self.flow.insert_only:
+            from sluice.streaming import extreme
+
+            return Grouped(extreme(self, greatest), self.keys, self.vals)
+        k = -1 if greatest else 0
+        return self._streamed(lambda rows: [(rows[k][0], 1)], StructType(self._fields(*self.vals)), self.vals)
 
     def min(self) -> Grouped:
         """The smallest value of a key by the order of its columns."""
         if self.flow.df.isStreaming:
-            return self._streamed(lambda rows: [(rows[0][0], 1)], StructType(self._fields(*self.vals)), self.vals)
+            return self._stream_extreme(False)
         return self._extreme(F.min)
 
     def max(self) -> Grouped:
         if self.flow.df.isStreaming:
-            return self._streamed(lambda rows: [(rows[-1][0], 1)], StructType(self._fields(*self.vals)), self.vals)
+            return self._stream_extreme(True)
         return self._extreme(F.max)
 
     def max_by(self, rank: Column) -> Grouped:
         """The value of the greatest rank; of several, the greatest value."""
         if self.flow.df.isStreaming:
-            inner = Grouped(self.flow._with(self.flow.df.withColumn("__rank", rank)), self.keys, ["__rank", *self.vals]).max()
-            return Grouped(inner.flow._with(inner.flow.df.drop("__rank")), self.keys, self.vals)
+            by = spare(self._all, "__rank")
+            inner = Grouped(self.flow._with(self.flow.df.withColumn(by, rank)), self.keys, [by, *self.vals]).max()
+            return Grouped(inner.flow._with(inner.flow.df.drop(by)), self.keys, self.vals)
         return self._extreme(F.max, rank)
 
     def ungroup(self) -> Flow:
@@ -351,6 +417,6 @@ class Grouped:
         a, b = left.df.select(*self._all, *left._mult()), right.df.select(*other._all, *right._mult())
         if left.insert_only and right.insert_only:
             return Flow(a.join(b, self.keys), stateful, left.look_back)
-        a, b = weighted(a), weighted(b).withColumnRenamed(MULT, "__other")
-        out = a.join(b, self.keys)
-        return Flow(out.withColumn(MULT, F.col(MULT) * F.col("__other")).drop("__other"), stateful, left.look_back)
+        m = spare([*a.columns, *b.columns], "__other")
+        out = weighted(a).join(weighted(b).withColumnRenamed(MULT, m), self.keys)
+        return Flow(out.withColumn(MULT, F.col(MULT) * F.col(m)).drop(m), stateful, left.look_back)

@@ -20,6 +20,14 @@ def values(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != MULT]
 
 
+def spare(columns: Iterable[str], name: str) -> str:
+    """name, or one like it where a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def weighted(df: DataFrame) -> DataFrame:
     """df with MULT, as 1 where it isn't there."""
     return df if MULT in df.columns else df.withColumn(MULT, F.lit(1).cast("long"))
@@ -50,4 +58,4 @@ def expand(df: DataFrame) -> DataFrame:
     """As many copies of each row as its total says; totals below one give none."""
     cols = values(df)
     total = consolidate(df).filter(F.col(MULT) > 0)
-    return total.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), MULT)).alias("__copy")).select(*cols)
+    return total.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), MULT)).alias(spare(cols, "__copy"))).select(*cols)

@@ -8,10 +8,15 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions import tagged_json
 from sluice.operators import MULT, Flow, consolidate, expand, negate, union, weighted
 from sluice.plans import Machine
-from sluice.plans.examples import latest_status, paired, production_summary
-from sluice.sources import looked_back, route
+from sluice.plans.examples import latest_status, paired, paired_rows, production_summary
+from sluice.sinks import MSSQL, POSTGRES, SQLITE, ColumnSpec, TableSet, TableSpec, sqlite_sink
+from sluice.sources import above, between, decode, joint_look_back, look_back_bound, looked_back, offsets, route, subscribe
+from sluice.sources.folders import remove, shared_folder
+from sluice.streaming import Export, catch_up, stream_deltas
+from sluice.streaming.runner import print_duration
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -325,9 +330,14 @@ def _(t):
     """select k, unnest(range(1, cast(m as bigint) + 1)) as "copy" from (select k, sum(m) as m from (select c_nationkey as k, 1 as m from customer union all select s_nationkey, -15 from supplier) group by 1) where m > 0""",
 )
 def _(t):
-    removed = negate(weighted(t("supplier").map(F.col("s_nationkey").alias("k")).df)).withColumn(MULT, F.col(MULT) * 15)
-    total = consolidate(union([weighted(t("customer").map(F.col("c_nationkey").alias("k")).df), removed])).filter(F.col(MULT) > 0)
-    return total.select("k", F.explode(F.sequence(F.lit(1).cast("bigint"), MULT)).alias("copy"))
+    """Through a table: rows put in and taken out, 15 for each supplier; what isn't there can't be taken out."""
+    spec = TableSpec("nations", 1, (ColumnSpec("k", "integer", index=True),))
+    sink = sqlite_sink(_database(), (spec,))
+    removed = weighted(t("supplier").map(F.col("s_nationkey").alias("k")).negate().df).withColumn(MULT, F.col(MULT) * 15)
+    for n, rows in enumerate((t("customer").map(F.col("c_nationkey").alias("k")).df, removed)):
+        sink.apply({"s": n}, {"nations": ((r[:-1], r[-1]) for r in consolidate(rows).select("k", MULT).toLocalIterator())}, n)
+    back = t("customer").df.sparkSession.createDataFrame(sink.rows("nations"), "k int")
+    return Flow(back).count().map("k", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy")).df
 
 
 def _stepped(t, query, columns: list[str], keys: list[str] | None) -> DataFrame:
@@ -366,6 +376,318 @@ def _(t):
     return _stepped(t, _usage, ["user_id", "props", "ts", "event_id", "event_type"], ["user_id"])
 
 
+@_query("flat_map_mut", "select event_id, user_id, i from (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n from events), lateral (select unnest(range(1, n % 3 + 1)) as i)")
+def _(t):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    def rising():
+        seen = [0]
+
+        def several(row):
+            seen[0] += 1
+            return [row | {"i": i} for i in range(1, seen[0] % 3 + 1)]
+
+        return several
+
+    schema = StructType([StructField(c, LongType()) for c in ("event_id", "user_id", "i")])
+    return t("events").map("event_id", "user_id").flat_map_mut(rising(), schema, ["event_id"], ["user_id"]).df
+
+
+@_query("inspect_mut", "select event_id, user_id from events")
+def _(t):
+    seen = []
+    return t("events").map("event_id", "user_id").inspect_mut(lambda row, m: seen.append(m), ["event_id"], ["user_id"]).df
+
+
+@_query("output", "select event_type, user_id, cast(1 as bigint) as mult from events union all select event_type, user_id, -1 from events where event_type = 'click'")
+def _(t):
+    rows = t("events").map("event_type", "user_id")
+    return rows.concat(rows.filter("event_type = 'click'").negate()).output().withColumnRenamed(MULT, "mult")
+
+
+@_query("except", "select c_nationkey as nk from customer except select s_nationkey from supplier where s_nationkey % 2 = 0")
+def _(t):
+    a, b = _nations(t, "customer", "c_nationkey").distinct(), _nations(t, "supplier", "s_nationkey").filter("nk % 2 = 0").distinct()
+    return expand(a.concat(b.negate()).threshold(lambda m: F.greatest(m, F.lit(0))).df)
+
+
+@_query("epoch_seconds", "select event_id, epoch_us(ts) // 1000000 as seconds, cast(octet_length(encode(event_type)) as integer) as bytes from events")
+def _(t):
+    return t("events").map("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"), F.octet_length("event_type").alias("bytes")).df
+
+
+# --- the event log: events as envelopes of eight sources -----------------------------------------------------------------
+
+_ENVELOPE_SQL = "select event_type as semantics, concat('user', user_id) as stream_name, concat('s', event_id % 8) as source, event_id as lamport, ts from events"
+
+
+def _envelopes(t) -> DataFrame:
+    """events as a log: the type is the semantics, the user the stream, and the sources' offsets rise with the Lamport time."""
+    payload = F.concat(F.lit('{"type":"'), F.col("event_type"), F.lit('","k":'), _k().cast("string"), F.lit("}"))
+    return t("events").df.select(
+        F.col("event_type").alias("semantics"), F.concat(F.lit("user"), F.col("user_id")).alias("stream_name"), F.concat(F.lit("s"), F.col("event_id") % 8).alias("source"),
+        F.floor(F.col("event_id") / 8).cast("long").alias("offset"), F.col("event_id").alias("lamport"), F.col("ts").cast("timestamp").alias("ts"), payload.alias("payload"),
+    )
+
+
+@_query("subscription", "select lamport, source from (" + _ENVELOPE_SQL + ") where semantics = 'click' and stream_name = 'user7'")
+def _(t):
+    return subscribe(_envelopes(t), "click", "user7").select("lamport", "source")
+
+
+@_query("inputs_event", "select event_type as type, event_id as lamport, cast(props ->> '$.k' as bigint) as k from events where event_type in ('click', 'view')")
+def _(t):
+    good, _ = decode(_envelopes(t), tagged_json(F.col("payload"), "type", {"click": {"k": "long"}, "view": {"k": "long"}}))
+    return good.select("record.type", "lamport", "record.k")
+
+
+@_query("dead_letters", "select event_id as lamport from events where event_type not in ('click', 'view')")
+def _(t):
+    return decode(_envelopes(t), tagged_json(F.col("payload"), "type", {"click": {"k": "long"}, "view": {"k": "long"}}))[1].select("lamport")
+
+
+@_query("inputs_triple", "select case when event_type = 'click' then 1 when event_type in ('click', 'view') then 2 when event_type in ('view', 'error') then 3 end as input, count(*) as n, cast(sum(cast(props ->> '$.k' as bigint)) as bigint) as k from events where event_type in ('click', 'view', 'error') group by 1")
+def _(t):
+    decoders = [tagged_json(F.col("payload"), "type", {v: {"k": "long"} for v in kinds}) for kinds in (("click",), ("click", "view"), ("view", "error"))]
+    query = lambda *flows: flows[0].map(F.lit(1).alias("input"), "k").concat_many([f.map(F.lit(i + 2).alias("input"), "k") for i, f in enumerate(flows[1:])])
+    machine = Machine(query, inputs=3, look_backs=[None, "7 days", None])
+    machine.feed_first(_envelopes(t), decoders)
+    return machine.drain().groupBy("input").agg(F.sum(MULT).alias("n"), F.sum(F.col("k") * F.col(MULT)).alias("k"))
+
+
+@_query("query_between", "select event_id as lamport from events where (event_id % 8 = 0 and event_id // 8 > 100 and event_id // 8 <= 500) or (event_id % 8 = 1 and event_id // 8 <= 7)")
+def _(t):
+    return between(_envelopes(t), {"s0": 100}, {"s0": 500, "s1": 7}).select("lamport")
+
+
+@_query("present_offsets", 'select concat(\'s\', event_id % 8) as source, max(event_id // 8) as "offset" from events group by 1')
+def _(t):
+    found = offsets(_envelopes(t))  # a row for each source
+    return t("events").df.sparkSession.createDataFrame(sorted(found.items()), "source string, offset long")
+
+
+@_query("go_back", "select event_id as lamport from events where event_id > (select max(event_id) from events where ts <= (select max(ts) from events) - interval 3 day)")
+def _(t):
+    log = _envelopes(t)
+    now = F.lit(log.agg(F.max("ts")).first()[0])
+    return above(log, look_back_bound(log, "3 days", now)).select("lamport")
+
+
+@_query("look_back_of_inputs", "select * from (values ('two', '1 weeks 1 day'), ('one without', null), ('one', '3 hours')) v(inputs, look_back)")
+def _(t):
+    made = [("two", joint_look_back(["7 days", "1 weeks 1 day"])), ("one without", joint_look_back(["7 days", None])), ("one", Machine(lambda f: f, look_backs=["3 hours"]).look_back)]
+    return t("events").df.sparkSession.createDataFrame(made, "inputs string, look_back string")
+
+
+@_query("durations", "select * from (values (5, '5s'), (60, '1m0s'), (3600, '1h0m0s'), (93784, '1d2h3m4s')) v(seconds, text)")
+def _(t):
+    return t("events").df.sparkSession.createDataFrame([(x, print_duration(x)) for x in (5, 60, 3600, 93784)], "seconds int, text string")
+
+
+@_query("needs_state", "select * from (values ('count', true), ('filter', false), ('monotonic', true)) v(flow, stateful)")
+def _(t):
+    flows = {"filter": lambda f: f.filter("user_id > 1"), "count": lambda f: f.count(), "monotonic": lambda f: f.monotonic_max_by("user_id")}
+    return t("events").df.sparkSession.createDataFrame([(k, Machine(q).needs_state(t("events").df)) for k, q in sorted(flows.items())], "flow string, stateful boolean")
+
+
+# --- streams: the same verbs as keyed processors, fed in two micro-batches; their deltas add up to the batch result --------
+
+STATE_PARTITIONS = 4
+
+
+def _streamed(t, table: str, columns: list, step: str, query) -> DataFrame:
+    rows = t(table).map(*columns).df
+    frames = [rows.filter(f"pmod({step}, 2) = {k}") for k in range(2)]
+    return consolidate(stream_deltas(frames, query, STATE_PARTITIONS).drop("step")).withColumnRenamed(MULT, "mult")
+
+
+_ONE = ", cast(1 as bigint) as mult"
+
+
+@_query("stream_threshold", "select user_id, event_type, count(*) - 10 as mult from events group by all having count(*) > 10")
+def _(t):
+    return _streamed(t, "events", ["user_id", "event_type", "event_id"], "event_id", lambda f: f.map("user_id", "event_type").threshold(lambda m: F.greatest(m - 10, F.lit(0))))
+
+
+@_query("stream_grouped_threshold", "select user_id, event_type, cast(1 as bigint) as mult from events group by all having count(*) >= 15")
+def _(t):
+    return _streamed(t, "events", ["user_id", "event_type", "event_id"], "event_id", lambda f: f.map("user_id", "event_type").group("user_id").threshold(lambda m: F.when(m >= 15, 1).otherwise(0)).ungroup_both())
+
+
+@_query("stream_distinct", f"select distinct user_id, event_type{_ONE} from events")
+def _(t):
+    return _streamed(t, "events", ["user_id", "event_type", "event_id"], "event_id", lambda f: f.map("user_id", "event_type").distinct())
+
+
+@_query("stream_count", f"select event_type, count(*) as n{_ONE} from events group by 1")
+def _(t):
+    return _streamed(t, "events", ["event_type", "event_id"], "event_id", lambda f: f.group("event_type").count().ungroup_both())
+
+
+@_query("stream_max_by", f"select user_id, ts, event_id{_ONE} from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
+def _(t):
+    return _streamed(t, "events", ["user_id", "ts", "event_id"], "event_id", lambda f: f.group("user_id").max_by(F.col("ts")).ungroup_both())
+
+
+@_query("stream_min", f"select user_id, min(event_id) as event_id{_ONE} from events group by 1")
+def _(t):
+    return _streamed(t, "events", ["user_id", "event_id"], "event_id", lambda f: f.group("user_id").min().ungroup_both())
+
+
+@_query("stream_monotonic", f"select event_type, user_id, event_id{_ONE} from events qualify row_number() over (partition by event_type order by user_id desc, event_id desc) = 1")
+def _(t):
+    return _streamed(t, "events", ["event_type", "user_id", "event_id"], "event_id", lambda f: f.monotonic_max_by("event_type"))
+
+
+@_query("stream_representative", f"select user_id, event_id{_ONE} from (select user_id, event_id, row_number() over (partition by user_id order by event_id % 2, event_id) as r from events) where r = 1")
+def _(t):
+    return _streamed(t, "events", ["user_id", "event_id"], "event_id", lambda f: f.monotonic_representative_by(["user_id"], ["event_id"]))
+
+
+@_query("stream_join", f"select user_id, event_id, other{_ONE} from events join (select user_id, max(event_id) as other from events group by 1) using (user_id)")
+def _(t):
+    def query(f):
+        best = f.group("user_id").max().ungroup_both().map("user_id", F.col("event_id").alias("other"))
+        return f.group("user_id").join_single(best.group("user_id"), "user_id", "event_id", "other")
+
+    return _streamed(t, "events", ["user_id", "event_id"], "event_id", query)
+
+
+@_query("stream_regroup", f"select event_type, max(n) as mx{_ONE} from (select event_type, user_id, count(*) as n from events group by 1, 2) group by 1")
+def _(t):
+    query = lambda f: f.group("event_type", "user_id").count().regroup({"event_type": F.col("event_type")}, {"mx": F.col("n")}).max().ungroup_both()
+    return _streamed(t, "events", ["event_type", "user_id", "event_id"], "event_id", query)
+
+
+@_query("stream_usage", _USAGE.format(_ONE))
+def _(t):
+    rows = ["user_id", (_k() % 4).alias("ord"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "event_id"]
+
+    def query(f):
+        out = paired_rows(f.filter("kind in ('click', 'purchase')"), ["user_id", "ord"], ["event_id"], "click", "purchase")
+        return out.map("user_id", "ord", F.col("started").cast("timestamp_ntz").alias("started"), (F.unix_micros("ts") - F.unix_micros("started")).alias("duration_micros"))
+
+    return _streamed(t, "events", rows, "event_id", query)
+
+
+@_query(
+    "stream_summary",
+    f"select o_orderpriority, arg_min(o_orderstatus, (o_orderkey, o_orderstatus)) as first_status, cast(sum(o_custkey) as bigint) as total_pcs{_ONE} from (select *, o_custkey % 97 as o_orderpriority from (select o_orderkey, o_custkey, o_orderstatus from orders)) group by 1",
+)
+def _(t):
+    rows = [(F.col("o_custkey") % 97).alias("o_orderpriority"), F.col("o_orderstatus").alias("first_status"), F.col("o_custkey").alias("pcs"), "o_orderkey"]
+    return _streamed(t, "orders", rows, "o_orderkey", lambda f: production_summary(f, ["o_orderpriority"], "first_status", "pcs", ["o_orderkey"]))
+
+
+# --- the runner and the sinks: an SQLite file on the driver, brought up to date and read back ------------------------------
+
+_LATEST = TableSpec("latest", 1, (ColumnSpec("stream_name", "text", index=True), ColumnSpec("lamport", "bigint")))
+_TALLY = TableSpec("tally", 1, (ColumnSpec("semantics", "text"), ColumnSpec("n", "bigint")))
+
+
+def _latest(f: Flow) -> Flow:
+    return f.map("stream_name", "lamport").group("stream_name").max().ungroup_both()
+
+
+def _tally(f: Flow) -> Flow:
+    return f.map("semantics", "lamport").group("semantics").count().ungroup_both()
+
+
+_BOARD_SQL = "select stream_name as key, max(lamport) as value, 'latest' as name from ({0}) group by 1 union all select semantics, count(*), 'tally' from ({0}) group by 1 union all select source, max(lamport // 8), 'offsets' from ({0}) group by 1".format(_ENVELOPE_SQL)
+
+
+def _read_back(t, sink) -> DataFrame:
+    rows = [(*r, n) for n in ("latest", "tally") for r in sink.rows(n)] + [(*r, "offsets") for r in sink.offsets().items()]
+    return t("events").df.sparkSession.createDataFrame(rows, "key string, value long, name string")
+
+
+def _database():
+    import tempfile
+
+    return f"{tempfile.mkdtemp(prefix='sluice-')}/x.db"  # the driver's own, like the connection
+
+
+@_query("runner_catch_up", _BOARD_SQL)
+def _(t):
+    """Three runs over a growing log, in batch."""
+    sink, log = sqlite_sink(_database(), (_LATEST, _TALLY)), _envelopes(t)
+    half = log.agg(F.max("lamport")).first()[0] // 2
+    for rows in (log.filter(F.col("lamport") <= half), log, log):
+        catch_up(rows, F.struct("payload"), {"latest": _latest, "tally": _tally}, sink)
+    return _read_back(t, sink)
+
+
+@_query("runner_export", _BOARD_SQL)
+def _(t):
+    """One stream into two tables: it is stopped, loses its checkpoint, warms up again and goes on."""
+    spark = t("events").df.sparkSession
+    base, db, log = shared_folder(spark, "export"), _database(), _envelopes(t)
+    most = log.agg(F.max("lamport")).first()[0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    try:
+        for k in range(3):
+            log.filter(F.col("lamport").between(k * most // 3 + (k > 0), (k + 1) * most // 3)).coalesce(1).write.mode("append").parquet(f"{base}/log")
+            if k == 1:
+                remove(spark, f"{base}/checkpoint")
+            export = Export(spark, f"{base}/log", F.struct("payload"), {"latest": _latest, "tally": _tally}, None, sqlite_sink(db, (_LATEST, _TALLY)), f"{base}/checkpoint")
+            export.catch_up()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return _read_back(t, export.sink)
+
+
+@_query("sink_migration", "select * from (values ('first', true, 2, 1), ('again', false, 2, 1), ('newer', true, 0, 0)) v(opened, migrated, n_rows, n_offsets)")
+def _(t):
+    path, out = _database(), []
+    for name, version in (("first", 1), ("again", 1), ("newer", 2)):
+        sink = sqlite_sink(path, (TableSpec("tally", version, _TALLY.columns),), "p")
+        if name == "first":
+            sink.apply({"s": 1}, {"tally": [(("a", 1), 1), ((None, 2), 1)]}, 0)
+        out.append((name, sink.migrated, len(sink.rows("tally")), len(sink.offsets())))
+    return t("events").df.sparkSession.createDataFrame(out, "opened string, migrated boolean, n_rows int, n_offsets int")
+
+
+_STATEMENTS = {
+    "SQLite": (
+        "insert into p_t (a, b) values (?, ?)",
+        "delete from p_t where a is ? and b is ?",
+        "insert into p_t_offsets (source, offset_) values (?, ?) on conflict (source) do update set offset_ = excluded.offset_",
+        "create table if not exists p_t (a text, b bigint, id serial)",
+        "create index if not exists p_t_index on p_t (a)",
+    ),
+    "PostgreSQL": (
+        "insert into p_t (a, b) values ($1, $2)",
+        "delete from p_t where a is not distinct from $1 and b is not distinct from $2",
+        "insert into p_t_offsets (source, offset_) values ($1, $2) on conflict (source) do update set offset_ = excluded.offset_",
+        "create table if not exists p_t (a text, b bigint, id serial)",
+        "create index if not exists p_t_index on p_t (a)",
+    ),
+    "SQL Server": (
+        "insert into p_t (a, b) values (@P1, @P2)",
+        "delete top (@P3) from p_t where exists (select a intersect select @P1) and exists (select b intersect select @P2)",
+        "merge p_t_offsets with (holdlock) as t using (select @P1 as source, @P2 as offset_) as n on t.source = n.source when matched then update set offset_ = n.offset_ when not matched then insert (source, offset_) values (n.source, n.offset_);",
+        "if object_id('p_t', 'U') is null create table p_t (a text, b bigint, id serial)",
+        "if indexproperty(object_id('p_t'), 'p_t_index', 'IndexID') is null create index p_t_index on p_t (a)",
+    ),
+}
+_KINDS = ("insert", "delete", "offset", "table", "index")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+@_query("sink_statements", f"select * from (values {_values((d, k, s) for d, all_ in _STATEMENTS.items() for k, s in zip(_KINDS, all_, strict=True))}) v(dialect, kind, statement)")
+def _(t):
+    spec, out = TableSpec("t", 3, (ColumnSpec("a", "text", index=True), ColumnSpec("b", "bigint"), ColumnSpec("id", "serial", exclude=True))), []
+    for dialect in (SQLITE, POSTGRES, MSSQL):
+        tables = TableSet((spec,), dialect, "p")
+        made = (tables.insert(spec), tables.delete(spec), tables.upsert_offset(), *tables.migration()[-2:])
+        out += [(dialect.name, k, s) for k, s in zip(_KINDS, made, strict=True)]
+    return t("events").df.sparkSession.createDataFrame(out, "dialect string, kind string, statement string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -26,10 +26,6 @@ def _on_conflict(table: str, hole: Callable[[int], str]) -> str:
     return f"insert into {table} (source, offset_) values ({hole(1)}, {hole(2)}) on conflict (source) do update set offset_ = excluded.offset_"
 
 
-def _null_safe(column: str, hole: str) -> str:
-    return f"({column} = {hole} or case when {column} is null and {hole} is null then 1 else 0 end = 1)"
-
-
 SQLITE = Dialect(
     name="SQLite",
     hole=lambda n: "?",
@@ -46,7 +42,7 @@ POSTGRES = Dialect(
     hole=lambda n: f"${n}",
     create_table=SQLITE.create_table,
     create_index=SQLITE.create_index,
-    equal=_null_safe,
+    equal=lambda column, hole: f"{column} is not distinct from {hole}",
     delete_some=SQLITE.delete_some,
     upsert_offset=_on_conflict,
 )
@@ -54,13 +50,14 @@ POSTGRES = Dialect(
 MSSQL = Dialect(
     name="SQL Server",
     hole=lambda n: f"@P{n}",
-    create_table=lambda table, columns: f"if not exists (select 1 from sys.tables where name = '{table}') create table {table} ({columns})",
-    create_index=lambda index, table, columns: f"if not exists (select 1 from sys.indexes where name = '{index}') create index {index} on {table} ({columns})",
-    equal=_null_safe,
+    create_table=lambda table, columns: f"if object_id('{table}', 'U') is null create table {table} ({columns})",
+    create_index=lambda index, table, columns: f"if indexproperty(object_id('{table}'), '{index}', 'IndexID') is null create index {index} on {table} ({columns})",
+    # an intersection takes two nulls as equal
+    equal=lambda column, hole: f"exists (select {column} intersect select {hole})",
     delete_some=lambda rest, hole: f"delete top ({hole}) {rest}",
     upsert_offset=lambda table, hole: (
-        f"if exists (select 1 from {table} where source = {hole(1)}) update {table} set offset_ = {hole(2)} where source = {hole(1)}"
-        f" else insert into {table} (source, offset_) values ({hole(1)}, {hole(2)})"
+        f"merge {table} with (holdlock) as t using (select {hole(1)} as source, {hole(2)} as offset_) as n on t.source = n.source"
+        " when matched then update set offset_ = n.offset_ when not matched then insert (source, offset_) values (n.source, n.offset_);"
     ),
     limited=True,
     start=("set transaction isolation level serializable",),

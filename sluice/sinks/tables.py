@@ -92,7 +92,7 @@ class TableSet:
                 f"drop table if exists {name}_{OFFSETS}_batch",
             ]
         out.append(self.dialect.create_table(self.offsets_table, "source varchar(50) primary key, offset_ bigint"))
-        out.append(self.dialect.create_table(f"{self.offsets_table}_batch", "batch_id bigint"))
+        out.append(self.dialect.create_table(f"{self.offsets_table}_batch", "checkpoint_ varchar(50), batch_id bigint"))
         for t in self.tables:
             name = self.names[t.name]
             out.append(self.dialect.create_table(name, ", ".join(f"{c.name} {c.sql_type}" for c in t.columns)))

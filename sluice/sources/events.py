@@ -58,21 +58,41 @@ def offsets(events: DataFrame) -> dict[str, int]:
     return {r.source: r.offset for r in present(events).collect()}
 
 
-def _at(known: Mapping[str, int], default: int) -> Column:
-    pairs = [F.lit(x) for k, v in known.items() for x in (k, int(v))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col("source")), F.lit(default)) if pairs else F.lit(default)
+#: Sources whose ranges stand in a filter one by one, as a scan can prune by.
+FEW = 200
+
+
+def _bounded(known: Mapping[str, int], above: bool, others: bool) -> Column:
+    """Offsets above those of known (or up to them); ``others``: whether sources that it lacks are in."""
+    source, offset = F.col("source"), F.col("offset")
+    if len(known) > FEW:
+        at = F.element_at(F.create_map(*(F.lit(x) for k, v in known.items() for x in (k, int(v)))), source)
+        return F.coalesce(offset > at if above else offset <= at, F.lit(others))
+    out = ~source.isin(*known) if others and known else F.lit(others)
+    for k, v in known.items():
+        out = out | ((source == k) & (offset > int(v) if above else offset <= int(v)))
+    return out
 
 
 def between(events: DataFrame, low: Mapping[str, int] | None, high: Mapping[str, int] | None) -> DataFrame:
     """Events above ``low`` and up to ``high``; a source that low lacks starts at its beginning, one that high lacks is
     left out."""
     if low:
-        events = events.filter(F.col("offset") > _at(low, -1))
+        events = events.filter(_bounded(low, True, True))
     if high is not None:
-        events = events.filter(F.col("offset") <= _at(high, -(1 << 62)))
+        events = events.filter(_bounded(high, False, False))
     return events
 
 
+def look_back_bound(events: DataFrame, interval: str | None, now: Column | None = None) -> int | None:
+    """The greatest Lamport time of an event that is older than the interval, None for none: a reverse causal scan that
+    stops at the first such event sees what lies above."""
+    if interval is None:
+        return None
+    limit = (now if now is not None else F.current_timestamp()) - F.expr(f"interval {interval}")
+    return events.filter(F.col("ts") <= limit).agg(F.max("lamport").alias("bound")).first().bound
+
+
 def looked_back(events: DataFrame, interval: str | None, now: Column | None = None) -> DataFrame:
     """What a reverse causal scan sees before the first event that is older than the interval: the events of greater
     Lamport time than any of those."""
@@ -83,6 +103,11 @@ def looked_back(events: DataFrame, interval: str | None, now: Column | None = No
     return events.join(F.broadcast(bound), F.col("bound").isNull() | (F.col("lamport") > F.col("bound"))).drop("bound")
 
 
+def above(events: DataFrame, bound: int | None) -> DataFrame:
+    """Events of a Lamport time above the bound."""
+    return events if bound is None else events.filter(F.col("lamport") > bound)
+
+
 def decode(events: DataFrame, decoded: Column, name: str = "record") -> tuple[DataFrame, DataFrame]:
     """(events with the decoded record, dead letters): what doesn't decode is set aside, never retried."""
     got = events.withColumn(name, decoded)

@@ -2,18 +2,22 @@
 
 Each loads its key's state, applies all rows of the micro-batch, and then emits the difference to what it last gave:
 old rows with multiplicity -1, new ones with +1.  State lives in the session's state store (RocksDB) and is restored from
-the checkpoint.  Values are kept as pickled tuples, so that a map state's key is one binary column whatever the schema.
+the checkpoint.  Values are kept as tuples in one binary column, whatever the schema; equal tuples have equal bytes, as a
+map state's key has to.  Where a reduction's state can be small it is: counts keep a total and a fingerprint, extremes of
+what only grows the value.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sluice.functions.ordering import order_key
 from sluice.operators.flow import Flow, Grouped
@@ -29,12 +33,31 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+_NAN = float("nan")
+
+
+def _canonical(v):
+    """Equal values as equal objects: one zero, one NaN, nested rows as tuples."""
+    if isinstance(v, float):
+        return _NAN if v != v else v + 0.0
+    if isinstance(v, tuple | list):
+        return tuple(map(_canonical, v))
+    if isinstance(v, dict):
+        return tuple(sorted((_canonical(k), _canonical(x)) for k, x in v.items()))
+    return bytes(v) if isinstance(v, bytearray) else v
+
+
 def _pack(values) -> tuple[bytes]:
-    return (pickle.dumps(tuple(values), protocol=4),)
+    """Bytes of a tuple.  Without the pickler's memo they don't depend on which strings are the same object."""
+    out = io.BytesIO()
+    pickler = pickle.Pickler(out, protocol=4)
+    pickler.fast = True
+    pickler.dump(tuple(map(_canonical, values)))
+    return (out.getvalue(),)
 
 
 def _load(state) -> dict[tuple, int]:
-    return {pickle.loads(bytes(k[0])): v[0] for k, v in state.iterator()}
+    return {tuple(map(_canonical, pickle.loads(bytes(k[0])))): v[0] for k, v in state.iterator()}
 
 
 def _store(state, old: dict[tuple, int], new: dict[tuple, int]) -> None:
@@ -49,6 +72,7 @@ def _store(state, old: dict[tuple, int], new: dict[tuple, int]) -> None:
 def _added(totals: dict[tuple, int], rows) -> dict[tuple, int]:
     out = dict(totals)
     for v, m in rows:
+        v = tuple(map(_canonical, v))
         out[v] = out.get(v, 0) + m
         if not out[v]:
             del out[v]
@@ -93,8 +117,64 @@ class Reduce(_Processor):
             yield Row(*self.names, MULT)(*head, *v, m)
 
 
+class Count(_Processor):
+    """The sum of a key's totals, for a key that has values; of a whole element, where its total isn't zero.
+
+    State is the sum and, as values may cancel, the sum of their digests times their totals, which is 0 modulo 2^128 just
+    if no value is left (but for a chance of 2^-128).
+    """
+
+    def __init__(self, keys: list[str], vals: list[str], name: str):
+        self.keys, self.vals, self.name = keys, vals, name
+
+    def open(self, handle):
+        self.kept = handle.getValueState("kept", StructType([*_TOTAL.fields, *_ELEMENT.fields]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = self.kept.get() if self.kept.exists() else None
+        total, print_ = (found[0], int.from_bytes(bytes(found[1]))) if found else (0, 0)
+        old = total if print_ else None
+        for r in rows:
+            m = r[MULT]
+            total += m
+            print_ = (print_ + m * int.from_bytes(hashlib.blake2b(_pack(r[v] for v in self.vals)[0], digest_size=16).digest())) % (1 << 128)
+        new = total if print_ else None
+        if print_:
+            self.kept.update((total, print_.to_bytes(16)))
+        elif found:
+            self.kept.clear()
+        if new != old:
+            for n, m in ((old, -1), (new, 1)):
+                if n is not None:
+                    yield Row(*self.keys, self.name, MULT)(*tuple(key), n, m)
+
+
+class Extreme(_Processor):
+    """The greatest or smallest value of a key of a flow that only grows."""
+
+    def __init__(self, keys: list[str], vals: list[str], greatest: bool):
+        self.keys, self.vals, self.greatest = keys, vals, greatest
+        self.own = [v for v in vals if v not in keys]
+
+    def open(self, handle):
+        self.best = handle.getValueState("best", _ELEMENT)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = self.best.get() if self.best.exists() else None
+        old = best = pickle.loads(bytes(found[0])) if found else None
+        for r in rows:
+            v = tuple(_canonical(r[c]) for c in self.vals)
+            if best is None or (order_key(v) > order_key(best)) == self.greatest and order_key(v) != order_key(best):
+                best = v
+        if best is not old:
+            self.best.update(_pack(best))
+            for v, m in ((old, -1), (best, 1)):
+                if v is not None:
+                    yield Row(*self.keys, *self.own, MULT)(*tuple(key), *(x for c, x in zip(self.vals, v, strict=True) if c not in self.keys), m)
+
+
 class MonotonicMax(_Processor):
-    """The greatest row of a key; taking the greatest back is an error."""
+    """The greatest row of a key; taking back what is the greatest at the end of a batch is an error."""
 
     def __init__(self, columns: list[str]):
         self.columns = columns
@@ -105,12 +185,15 @@ class MonotonicMax(_Processor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         found = self.best.get() if self.best.exists() else None
         old = best = pickle.loads(bytes(found[0])) if found else None
-        for r in sorted(rows, key=lambda r: order_key([r[c] for c in self.columns])):
-            v = tuple(r[c] for c in self.columns)
-            if best is not None and v == best and r[MULT] < 0:
-                raise ValueError(f"key {tuple(key)}: the greatest row {v} was taken back")
+        gone = set()
+        for r in rows:
+            v = tuple(_canonical(r[c]) for c in self.columns)
+            if r[MULT] < 0:
+                gone.add(order_key(v))
             if best is None or order_key(v) > order_key(best):
                 best = v
+        if best is not None and order_key(best) in gone:
+            raise ValueError(f"key {tuple(key)}: the greatest row {best} was taken back")
         if best != old:
             self.best.update(_pack(best))
             if old is not None:
@@ -133,7 +216,7 @@ class Representative(_Processor):
         fresh = kept is None
         order = [*self.order_by, *(c for c in self.columns if c not in self.order_by)]
         for r in sorted(rows, key=lambda r: order_key([r[c] for c in order])):
-            v = tuple(r[c] for c in self.columns)
+            v = tuple(_canonical(r[c]) for c in self.columns)
             if kept is None:
                 kept, m = v, 1
             elif v == kept:
@@ -194,6 +277,18 @@ def reduced(flow: Flow, keys: list[str], function, schema: StructType, vals: lis
     return Flow(_run(df, keys, processor, _schema([*own, *schema.fields])), True, flow.look_back)
 
 
+def counted(flow: Flow, keys: list[str], name: str, of_rows: bool = True) -> Flow:
+    """Counts by key; ``of_rows``: a key counts while it has rows, else while its total isn't zero."""
+    df = weighted(flow.df)
+    vals = [c for c in flow.columns if c not in keys] if of_rows else []
+    return Flow(_run(df, keys, Count(keys, vals, name), _schema([*(df.schema[k] for k in keys), StructField(name, LongType())])), True, flow.look_back)
+
+
+def extreme(grouped: Grouped, greatest: bool) -> Flow:
+    df = grouped.flow.df.select(*grouped._all)
+    return Flow(_run(df, grouped.keys, Extreme(grouped.keys, grouped.vals, greatest), _schema(df.schema[c] for c in grouped._all)), True, grouped.flow.look_back)
+
+
 def monotonic_max(flow: Flow, keys: list[str]) -> Flow:
     df = weighted(flow.df)
     fields = [df.schema[c] for c in flow.columns]
@@ -225,4 +320,4 @@ def joined(left: Grouped, right: Grouped) -> Flow:
     return Flow(_run(union(sides), keys, Join(keys, av, bv), schema), True, left.flow.look_back)
 
 
-__all__ = ["STATE_STORE", "Join", "MonotonicMax", "Reduce", "Representative", "StringType", "joined", "monotonic_max", "reduced", "representative", "use_rocksdb"]
+__all__ = ["STATE_STORE", "Count", "Extreme", "Join", "MonotonicMax", "Reduce", "Representative", "counted", "extreme", "joined", "monotonic_max", "reduced", "representative", "use_rocksdb"]
