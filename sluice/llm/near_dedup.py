@@ -195,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is two shuffles of the edges, written to the shared folder.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before = rows = None
+    before, rows = None, 2 * edges.count()
     while True:
         sym = scratch.union(e, e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -336,18 +336,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = scratch.materialize(scratch.map_arrow(docs, _features(width), FEATURES), "features")
     classes = feats.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("rep is not null")
-    classes = scratch.materialize(classes, "classes")
+    n = feats.count()  # of a written table; later tables are at most so long, or so many times as long
+    classes = scratch.materialize(classes, "classes", n)
 
     bands = feats.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bk")).distinct()
     buckets = bands.groupBy("bk").agg(F.count("*").alias("size")).filter("size > 1")
-    members = scratch.materialize(bands.join(buckets.select("bk"), "bk").select("bk", "id"), "members")
+    members = scratch.materialize(bands.join(buckets.select("bk"), "bk").select("bk", "id"), "members", BANDS * n)
 
     wanted = members.select("id").distinct()
     known = scratch.materialize(
         feats.filter("n > 0").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "odd", "parity").dropDuplicates(["id"]),
         "known",
+        n,
     )
-    sets = scratch.materialize(scratch.map_arrow(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), _sets(width), "id long, s binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.materialize(scratch.map_arrow(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), _sets(width), "id long, s binary").dropDuplicates(["id"]), "sets", 8 * n)  # wide rows
 
     # each member and, of its buckets' pivots that pass the estimate, the nearest, the farthest and another
     pivots = members.groupBy("bk").agg(F.min_by("id", F.xxhash64("bk", "id")).alias("pivot"))
