@@ -11,6 +11,7 @@ Words are runs of letters, marks and digits in lower case.
 ``alike`` links similar documents: signature sets partitioned by length, compared through pruned Jaccard.
 ``neighbours`` pairs every row with the next one in descending doc_id order, the last with the first; rows of equal
 doc_id follow one another by text, null ids come last.  A table of one row pairs it with itself; an empty one is empty.
+Very long texts are read whole.  Extra columns are kept by ``fingerprints`` and not looked at by the others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import kernels as K
@@ -37,8 +38,8 @@ ANCHORS = (
 ).split()
 #: Buckets for each shuffle partition; several small ones even out what a partition's hash brings together.
 BUCKETS = 8
-#: Ranges that doc_ids are counted in before they are dealt out.
-CELLS = 1 << 14
+#: Ranges that doc_ids are dealt out over at most.
+CUTS = 1 << 11
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -177,29 +178,25 @@ def alike(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_signatures"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "rep")).alias("class_id"))
 
 
+def _place(key: Column, cuts: list[int], low: int = 0) -> Column:
+    """The number of cuts up to the key, by halving."""
+    if not cuts:
+        return F.lit(low)
+    k = len(cuts) // 2
+    return F.when(key < cuts[k], _place(key, cuts[:k], low)).otherwise(_place(key, cuts[k + 1 :], low + k + 1))
+
+
 def _buckets(docs: DataFrame, parts: int) -> tuple[DataFrame, list]:
     """docs with key and a bucket that rises with it, and (bucket, smallest, greatest key) of each bucket that has rows.
 
-    Keys are counted in CELLS equal ranges; neighbouring ranges are joined until a bucket has its share of the rows.
+    The cuts are quantiles of the keys, so buckets have like numbers of rows however the ids lie.
     """
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    low, high, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not total:
-        return docs.withColumn("bucket", F.lit(0)), []
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // CELLS + 1
-    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(f"cast((doc_id - {low}L) div {width}L as int)"))
-    found = {r.cell: r for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()}
-    to, bucket, filled, ends = [], 0, 0, {}
-    for c in sorted(found):
-        r = found[c]
-        if filled and filled + r.n > total / parts:
-            bucket, filled = bucket + 1, 0
-        filled += r.n
-        ends[bucket] = (ends[bucket][0] if bucket in ends else r.low, r.high)
-        to.append((c, bucket))
-    table = docs.sparkSession.createDataFrame(to, "cell int, bucket int")  # CELLS rows at most
-    return docs.withColumn("cell", cell).join(F.broadcast(table), "cell"), [(k, *v) for k, v in ends.items()]
+    n = min(parts, CUTS)
+    cuts = docs.agg(F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0]  # CUTS numbers at most
+    docs = docs.withColumn("bucket", _place(F.col("key"), sorted(set(cuts or []))))
+    found = docs.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    return docs, sorted(map(tuple, found))
 
 
 def neighbours(docs: DataFrame, run, schema: str) -> DataFrame:

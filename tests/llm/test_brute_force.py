@@ -103,6 +103,18 @@ def test_spot_signatures_equal_plain_loops(spark):
         assert (r.near_edited, r.near_next) == (pytest.approx(jaccard(a, b)), pytest.approx(jaccard(a, c)))
 
 
+def test_neighbours_of_ids_far_apart(spark):
+    ids = [-(1 << 63) + 1, *range(300), (1 << 63) - 1]
+    table = spark.createDataFrame([(i, f"word {i}", None) for i in ids], DOC)
+    rows = {r.doc_id: r for r in spot_signatures.neighbours(table, spot_signatures._compare, spot_signatures.SCHEMA).collect()}
+    for i, d in enumerate(ids):
+        own, after = f"word {d}", f"word {ids[i - 1]}"
+        half = len(own) // 2
+        assert rows[d].edited_sha256 == hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest()
+    _, ends = spot_signatures._buckets(table.select("doc_id", "text"), 8)
+    assert len(ends) == 8
+
+
 # --- pseudonyms ---
 
 
