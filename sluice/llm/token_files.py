@@ -30,6 +30,8 @@ from sluice.llm import scratch
 
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 17
+#: Distinct pre-tokens that a worker keeps.
+MEMO = 3_000_000
 #: Stands for a null doc_id in a file.
 NO_ID = -(1 << 63)
 
@@ -166,7 +168,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.store = K.SegmentStore(self.dtype)
+        self.store = K.SegmentStore(self.dtype, MEMO)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
