@@ -137,3 +137,18 @@ def open_file(uri: str):
     """An input file with random access."""
     files, path = open_fs(uri)
     return files.open_input_file(path)
+
+
+def exists(uri: str) -> bool:
+    """Whether there is a file of that name."""
+    files, path = open_fs(uri)
+    return files.get_file_info(path).is_file
+
+
+def drop_file(uri: str) -> None:
+    """Remove a file of ours, if nothing else has."""
+    files, path = open_fs(uri)
+    try:
+        files.delete_file(path)
+    except FileNotFoundError:
+        pass

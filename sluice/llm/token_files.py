@@ -9,6 +9,10 @@ with two control bits per id (its length in bytes less one; four ids to a contro
 1 to 4 little-endian data bytes.  A decoder looks all four lengths up by control byte and gathers data with numpy.
 ``ranks.u32`` beside the files lists the ids by rank.
 
+Ranks are known only when all texts are encoded, so the ids first go to a plain file for each partition (blocks as above
+with the ids themselves in place of control and data bytes), counted on the way; each is then rewritten by rank and
+removed.  Texts are encoded once, and at most one form of a partition is kept.
+
 Nulls: a null text is the empty text, which gives the end id alone.  A null doc_id sorts first and comes back null.
 Repeated rows: each is written.  An empty table gives no file but ranks.u32.
 """
@@ -67,17 +71,15 @@ def data_bytes(control: np.ndarray, n: int) -> int:
     return int(_LENS[control].reshape(-1)[:n].sum(dtype=np.int64))
 
 
-def blocks(docs: Iterable[tuple[int | None, np.ndarray]], rank: np.ndarray) -> Iterator[bytes]:
-    """Blocks of (doc_id, ids) in the order given."""
+def blocks(docs: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids per document, ids) of whole documents, in the order given; each has a (doc_id, ids)."""
     held: list[tuple[int | None, np.ndarray]] = []
     total = 0
 
-    def flush() -> bytes:
-        ids = rank[np.concatenate([x for _, x in held])] if total else np.zeros(0, np.uint32)
-        control, data = pack(ids)
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys = np.array([NO_ID if d is None else d for d, _ in held], "<i8")
         sizes = np.array([len(x) for _, x in held], "<u4")
-        return struct.pack("<II", len(held), total) + keys.tobytes() + sizes.tobytes() + control + data
+        return keys, sizes, np.concatenate([x for _, x in held])
 
     for d, x in docs:
         held.append((d, x))
@@ -89,15 +91,38 @@ def blocks(docs: Iterable[tuple[int | None, np.ndarray]], rank: np.ndarray) -> I
         yield flush()
 
 
-def read_blocks(file, by_rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids per document, ids) of each block."""
+def _head(keys: np.ndarray, sizes: np.ndarray, n: int) -> bytes:
+    return struct.pack("<II", len(keys), n) + keys.tobytes() + sizes.tobytes()
+
+
+def _heads(file) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """doc_ids, ids per document and number of ids of each block; the caller reads what follows before the next."""
     while head := file.read(8):
         n_docs, n = struct.unpack("<II", head)
-        keys = np.frombuffer(file.read(8 * n_docs), "<i8")
-        sizes = np.frombuffer(file.read(4 * n_docs), "<u4").astype(np.int64)
+        yield np.frombuffer(file.read(8 * n_docs), "<i8"), np.frombuffer(file.read(4 * n_docs), "<u4"), n
+
+
+def read_blocks(file, by_rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids per document, ids) of each block."""
+    for keys, sizes, n in _heads(file):
         control = np.frombuffer(file.read(-(-n // 4)), np.uint8)
         data = np.frombuffer(file.read(data_bytes(control, n)), np.uint8)
-        yield keys, sizes, by_rank[unpack(control, data, n)]
+        yield keys, sizes.astype(np.int64), by_rank[unpack(control, data, n)]
+
+
+def finish(plain: str, rank: np.ndarray) -> str:
+    """Rewrites a plain file (its suffix is the ids' type) by rank and removes it; gives the new file's name.
+
+    The new file is whole before the plain one goes, so a task that is tried again finds one of them.
+    """
+    stem, kind = plain.rsplit(".", 1)
+    name, dtype = f"{stem}.tok", np.dtype(f"<{kind}")
+    if scratch.exists(plain) or not scratch.exists(name):
+        with scratch.open_file(plain) as f:
+            ids = ((k, s, np.frombuffer(f.read(n * dtype.itemsize), dtype)) for k, s, n in _heads(f))
+            scratch.write_file(name, (_head(k, s, len(x)) + b"".join(pack(rank[x])) for k, s, x in ids))
+        scratch.drop_file(plain)
+    return name
 
 
 # --- encoding ---------------------------------------------------------------------------------------------------------
@@ -184,19 +209,6 @@ class Encoder:
                 out[k] = self._whole(part[k])
             yield from out
 
-    def count(self, texts: list[str | None], total: np.ndarray) -> None:
-        """Adds to total how often each id occurs in the texts; ids are looked up once for each distinct pre-token."""
-        for a, b in K.slices(texts):
-            part = texts[a:b]
-            for k in self._special(part):
-                np.add.at(total, self._whole(part[k]), 1)
-                part[k] = None
-            classes, at, _, _ = self._segments(part)
-            lens = self.store.size[at]
-            flat = self.store.flat[K.gather_ranges(self.store.start[at], lens)]
-            times = np.repeat(np.bincount(classes, minlength=len(at)), lens)
-            total += np.bincount(flat, weights=times, minlength=len(total)).astype(np.int64)
-
     def _special(self, texts: list[str | None]) -> list[int]:
         return [k for k, t in enumerate(texts) if t and any(x in t for x in self.added)]
 
@@ -260,62 +272,67 @@ def decoder(path: str) -> Decoder:
     return _decoders[path]
 
 
-def frequencies(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs over all texts.  What reaches the driver is bounded by the vocabulary."""
-
-    def count(batches):
-        enc = encoder(path)
-        size = max(enc.tokenizer.get_vocab_size(), end_id + 1)
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            enc.count(b.column(0).to_pylist(), total)
-            total[end_id] += b.num_rows
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-    rows = scratch.map_arrow(docs.select("text"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    size = max([end_id, *(r.id for r in rows)]) + 1
-    out = np.zeros(size, np.int64)
-    for r in rows:
-        out[r.id] = r.n
-    return out
-
-
 def write(docs: DataFrame, path: str, out: str, end_id: int = 0) -> list[tuple[str, int, int]]:
     """Encode docs (doc_id, text) and write the files under ``out`` in ascending doc_id order.
 
-    Gives (file, documents, ids) of each file in order.  One shuffle: a range partitioning by doc_id.
+    Gives (file, documents, ids) of each file in order.  One shuffle of texts: a range partitioning by doc_id.  What
+    reaches the driver is bounded by the vocabulary and the number of files.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = frequencies(docs, path, end_id)
-    by_rank = np.argsort(-n, kind="stable").astype(np.uint32)
-    rank = np.empty(len(by_rank), np.uint32)
-    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    scratch.write_file(f"{out}/ranks.u32", [by_rank.astype("<u4").tobytes()])
-    shared = spark.sparkContext.broadcast(rank)  # 4 bytes for each id of the vocabulary
+    schema = pa.schema([("file", pa.string()), ("id", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
 
     def save(batches):
-        enc, seen = encoder(path), [0, 0]
+        enc, docs_seen = encoder(path), 0
+        total = np.zeros(max(enc.tokenizer.get_vocab_size(), end_id + 1), np.int64)
 
         def rows():
             end = np.array([end_id], enc.dtype)
             for b in batches:
-                keys = b.column(0).to_pylist()
-                for d, ids in zip(keys, enc.encode(b.column(1).to_pylist()), strict=True):
-                    seen[0] += 1
-                    seen[1] += len(ids) + 1
+                for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                     yield d, np.concatenate([ids, end])
 
-        name = f"{out}/part-{TaskContext.get().partitionId():06d}.tok"
-        first = next(it := blocks(rows(), shared.value), None)
+        def plain():
+            nonlocal total, docs_seen
+            for keys, sizes, ids in blocks(rows()):
+                total += np.bincount(ids, minlength=len(total))
+                docs_seen += len(keys)
+                yield _head(keys, sizes, len(ids)) + ids.astype(ids.dtype.newbyteorder("<"), copy=False).tobytes()
+
+        name = f"{out}/part-{TaskContext.get().partitionId():06d}.{np.dtype(enc.dtype).str[1:]}"
+        first = next(it := plain(), None)
         if first is not None:
             scratch.write_file(name, _chain(first, it))
-            yield pa.RecordBatch.from_pydict({"file": [name], "docs": [seen[0]], "ids": [seen[1]]})
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"file": [name], "id": [None], "docs": [docs_seen], "n": [int(total.sum())]}, schema)
+            nothing = pa.nulls(len(seen), pa.string())
+            yield pa.RecordBatch.from_pydict({"file": nothing, "id": seen, "docs": np.zeros_like(seen), "n": total[seen]}, schema)
 
     parts = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first())
-    files = scratch.map_arrow(parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first()), save, "file string, docs long, ids long").collect()
-    return sorted((r.file, r.docs, r.ids) for r in files)
+    saved = scratch.map_arrow(parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first()), save, "file string, id long, docs long, n long")
+    found = saved.groupBy("file", "id").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).collect()
+    files = sorted((r.file, r.docs, r.n) for r in found if r.file is not None)
+    times = {r.id: r.n for r in found if r.file is None}
+
+    n = np.zeros(max([end_id, *times]) + 1, np.int64)
+    n[list(times)] = list(times.values())
+    by_rank = np.argsort(-n, kind="stable").astype(np.uint32)
+    rank = np.empty(len(by_rank), np.uint32)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    scratch.write_file(f"{out}/ranks.u32", [by_rank.astype("<u4").tobytes()])
+    if not files:
+        return []
+    shared = spark.sparkContext.broadcast(rank)  # 4 bytes for each id of the vocabulary
+    names = [f for f, _, _ in files]
+
+    def rewrite(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"k": [k], "file": [finish(names[k], shared.value)]})
+
+    done = scratch.map_arrow(spark.range(0, len(files), 1, len(files)), rewrite, "k long, file string").collect()
+    final = {r.k: r.file for r in done}
+    return [(final[k], d, ids) for k, (_, d, ids) in enumerate(files)]
 
 
 def _chain(first, rest):

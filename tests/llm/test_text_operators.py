@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -47,6 +48,49 @@ def test_token_files_round_trip(spark):
     assert empty == [] and token_files.read(spark, out, empty).count() == 0
 
 
+def test_token_files_encode_each_text_once(spark, tmp_path):
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+
+    seen = tmp_path / "seen"
+
+    @F.udf("string")
+    def noted(text):
+        with open(seen, "a") as f:
+            f.write(f"{TaskContext.get().stageId()}\n")
+        return text
+
+    out = scratch.new_dir(spark, "t")
+    files = token_files.write(docs(spark, ODD * 20).withColumn("text", noted("text")), public_tokenizers.path("byte_bpe_50k.json"), out)
+    # the sample for the ranges and the shuffle go through the texts; what encodes reads that shuffle
+    assert len(set(seen.read_text().split())) <= 2 and sum(d for _, d, _ in files) == 20 * len(ODD)
+    # one form of each partition is left
+    folder = pathlib.Path(out.removeprefix("file://"))
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == sorted([*(f.rsplit("/", 1)[1] for f, _, _ in files), "ranks.u32"])
+
+
+@pytest.mark.parametrize("kind", ["u2", "u4"])
+def test_token_files_are_finished_once_however_often_tried(tmp_path, kind):
+    rng = np.random.default_rng(3)
+    said = [(None, 5), (1, 1), (2, 200_000), (2, 1), (3, 70_000)]
+    rows = [(d, rng.integers(0, 60_000, n).astype(f"<{kind}")) for d, n in said]
+    times = np.bincount(np.concatenate([x for _, x in rows]), minlength=60_000)
+    by_rank = np.argsort(-times, kind="stable").astype(np.uint32)
+    rank = np.empty(len(by_rank), np.uint32)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    plain = f"file://{tmp_path}/part-000000.{kind}"
+    scratch.write_file(plain, (token_files._head(k, s, len(x)) + x.tobytes() for k, s, x in token_files.blocks(rows)))
+    name = token_files.finish(plain, rank)
+    assert not scratch.exists(plain) and token_files.finish(plain, rank) == name
+    with scratch.open_file(name) as f:
+        got = list(token_files.read_blocks(f, by_rank))
+    assert len(got) == 2 and np.concatenate([k for k, _, _ in got]).tolist() == [token_files.NO_ID, 1, 2, 2, 3]
+    assert np.concatenate([s for _, s, _ in got]).tolist() == [n for _, n in said]
+    assert (np.concatenate([x for _, _, x in got]) == np.concatenate([x for _, x in rows])).all()
+    with pytest.raises(FileNotFoundError):
+        token_files.finish(f"file://{tmp_path}/part-000001.{kind}", rank)
+
+
 def test_variable_length_code():
     rng = np.random.default_rng(0)
     v = rng.integers(0, 2**32, 1003, dtype=np.uint64).astype(np.uint32) >> rng.integers(0, 32, 1003).astype(np.uint32)
