@@ -21,6 +21,7 @@ from sluice.operators import MULT, Flow, consolidate, negate, spare, union, weig
 from sluice.sinks import SqlSink
 from sluice.sources import above, between, joint_look_back, look_back_bound, offsets, read_log, route, stream_log, subscribe
 from sluice.sources.folders import read_text, remove, write_text
+from sluice.streaming.processors import use_rocksdb
 
 #: Seconds between flushes when following the tail.
 TICK = 5
@@ -130,6 +131,7 @@ class Export:
 
     def _start(self, live: bool, files: int | None, bound: int | None, take: Callable[[dict, dict, int], None]):
         """take(offsets reached, deltas by table, number of the micro-batch)."""
+        use_rocksdb(self.spark)
         events = above(self._subscribed(stream_log(self.spark, self.log, files)), bound)
         outs = {t: weighted(q(*_flows(events, self.inputs)).df).select(*self._columns(t), MULT) for t, q in self.queries.items()}
         kinds = {t: "struct<" + ",".join(f"`{c}`:{k}" for c, k in df.dtypes if c != MULT) + ">" for t, df in outs.items()}

@@ -61,6 +61,20 @@ def test_stream_restart_and_offsets(spark, tmp_path):
     assert again.offsets() == {"src": 6} and again.floored == 0 and export.count_dead_letters() == 1
 
 
+def test_export_names_its_state_store(spark, tmp_path):
+    """A session as it comes has a state store that keyed processors can't use."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+        log(spark, E).coalesce(1).write.parquet(str(tmp_path / "log"))
+        export = Export(spark, str(tmp_path / "log"), machine_record(), dashboard, "dashboard", sqlite_sink(":memory:", (DASHBOARD,)), str(tmp_path / "cp"))
+        export.catch_up()
+        assert sorted(export.sink.rows("dashboard")) == BOARD
+    finally:
+        spark.conf.set(name, before)
+
+
 def run(spark, tmp_path, schema, batches, build):
     """The signed rows that a streaming flow gives for each batch of files."""
     path, out = str(tmp_path / "in"), []
