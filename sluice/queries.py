@@ -495,10 +495,15 @@ def _(t):
 STATE_PARTITIONS = 4
 
 
+def _state_partitions(spark: SparkSession) -> int:
+    """One for each core of the session, so that more machines take more of the state."""
+    return max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+
+
 def _streamed(t, table: str, columns: list, step: str, query) -> DataFrame:
     rows = t(table).map(*columns).df
     frames = [rows.filter(f"pmod({step}, 2) = {k}") for k in range(2)]
-    return consolidate(stream_deltas(frames, query, STATE_PARTITIONS).drop("step")).withColumnRenamed(MULT, "mult")
+    return consolidate(stream_deltas(frames, query, _state_partitions(t(table).df.sparkSession)).drop("step")).withColumnRenamed(MULT, "mult")
 
 
 _ONE = ", cast(1 as bigint) as mult"
