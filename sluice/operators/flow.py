@@ -189,9 +189,9 @@ class Flow:
     def distinct(self) -> Flow:
         """Each element whose total isn't zero, once."""
         if self.df.isStreaming:
-            from sluice.streaming import reduced
+            from sluice.streaming import present
 
-            return reduced(self, self.columns, lambda rows: [(r, 1) for r, m in rows], self._schema(), whole=True)
+            return present(self)
         return self._with(self.df.distinct() if self.insert_only else consolidate(self.df).drop(MULT), True)
 
     def threshold(self, function: Callable[[Column], Column]) -> Flow:
@@ -333,7 +333,8 @@ class Grouped:
     def distinct(self) -> Grouped:
         """Every value that is there once, whatever its total."""
         if self.flow.df.isStreaming:
-            return self._streamed(lambda rows: [(r, 1) for r, m in rows], StructType(self._fields(*self.vals)), self.vals)
+            pairs = Flow(self.flow.df.select(*self._all, *self.flow._mult()), self.flow.stateful, self.flow.look_back)
+            return Grouped(pairs.distinct(), self.keys, self.vals)
         if self.flow.insert_only:
             return self._to(self.flow.df.select(*self._all).distinct(), self.vals)
         return self._to(self._totals().drop(MULT), self.vals)

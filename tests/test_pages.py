@@ -91,3 +91,17 @@ def test_a_frame_is_a_micro_batch_of_many_files(spark, tmp_path, monkeypatch):
     assert got.filter("step = 0").count() == 7 and got.filter("step = 1").count() == 14
     assert sorted(map(tuple, consolidate(got.drop("step")).collect())) == sorted((v % 7, v, 1) for v in range(113, 120))
     assert Flow(got).columns == ["k", "v", "step"]
+
+
+def test_distinct_keeps_totals_and_gives_changes_only():
+    store = Store()
+    present = processors.Present(["k"])
+    assert feed(present, store, ["k"], [("a", 2), ("b", 1), ("b", -1)]) == ([("a", 1)], 1)
+    assert feed(present, store, ["k"], [("a", -1), ("b", -3)]) == ([("b", 1)], 1)
+    assert feed(present, store, ["k"], [("a", -1), ("b", 3)]) == ([("a", -1), ("b", -1)], 2) and store.value is None
+
+
+def test_distinct_on_a_stream_runs_no_function_over_values(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sluice.streaming.reduced", None)
+    flow = Flow(spark.readStream.schema("k string, v int").parquet(str(tmp_path)))
+    assert flow.distinct().columns == flow.group("k").distinct().ungroup_both().columns == ["k", "v"]
