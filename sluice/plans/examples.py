@@ -128,6 +128,10 @@ def production_summary(rows: Flow, keys: list[str], name: str, pieces: str, orde
     """Per key the name of the earliest row and the sum of its pieces, each times its multiplicity."""
     if rows.df.isStreaming:
         vals = [*order_by, name, pieces]
+        if rows.insert_only:
+            from sluice.streaming import first_and_sum
+
+            return first_and_sum(rows, keys, order_by, name, pieces, "total_pcs")
 
         def summary(key, found):
             yield (found[0][0][-2], sum(m * v[-1] for v, m in found)), 1

@@ -105,3 +105,19 @@ def test_distinct_on_a_stream_runs_no_function_over_values(spark, tmp_path, monk
     monkeypatch.setattr("sluice.streaming.reduced", None)
     flow = Flow(spark.readStream.schema("k string, v int").parquet(str(tmp_path)))
     assert flow.distinct().columns == flow.group("k").distinct().ungroup_both().columns == ["k", "v"]
+
+
+def test_summary_keeps_one_row_for_a_key(spark, tmp_path):
+    sizes, store = [], Store()
+    for n in (10, 10_000):
+        rows = [("x", i, f"n{i}", 1, 1) for i in range(n)]
+        summary = processors.FirstAndSum(["k"], ["at", "name", "pcs"], ["k", "name", "total"])
+        feed(summary, store, ["k", "at", "name", "pcs"], rows)
+        sizes.append(len(store.value[0]))
+    assert sizes[1] < sizes[0] + 8
+    made, _ = feed(summary, store, ["k", "at", "name", "pcs"], [("x", None, "early", None, 1), ("y", 1, "b", None, 1), ("y", 1, None, None, 1)])
+    assert sorted(made, key=str) == [("x", "early", 10_010, 1), ("x", "n0", 10_010, -1), ("y", None, None, 1)]
+    from sluice.plans.examples import production_summary
+
+    rows = spark.readStream.schema("k string, at long, name string, pcs long").parquet(str(tmp_path))
+    assert production_summary(Flow(rows), ["k"], "name", "pcs", ["at"]).columns == ["k", "name", "total_pcs"]
