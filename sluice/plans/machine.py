@@ -2,7 +2,8 @@
 
 A step's deltas are the query over all rows so far less the query over the rows before, consolidated.  This difference is
 the specification that incremental execution must meet.  Where a query's results for a key depend on that key's input
-alone, ``keys`` names the input columns, and a step evaluates only the keys that its batch touches.
+alone, ``keys`` names the input columns, and a step evaluates only the keys that its batch touches.  A query whose results
+add up over its input's rows, such as a join with a table that isn't fed, is ``linear``: a step evaluates its batch alone.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ class Machine:
     """A query of one or several input flows, fed batch by batch.
 
     look_back: of each input, where it has one; the machine's is none if any input has none, else the longest.
+    linear: the query of several batches together is the sum of the query of each.
     """
 
-    def __init__(self, query: Callable[..., Flow], keys: list[str] | None = None, look_back: str | None = None, inputs: int = 1, look_backs: Sequence[str | None] | None = None):
+    def __init__(self, query: Callable[..., Flow], keys: list[str] | None = None, look_back: str | None = None, inputs: int = 1, look_backs: Sequence[str | None] | None = None, linear: bool = False):
+        self.linear = linear
         self.query, self.keys, self.n = query, keys, inputs
         self.look_back = joint_look_back(list(look_backs)) if look_backs else look_back
         self.before: list[DataFrame | None] = [None] * inputs
@@ -55,6 +58,11 @@ class Machine:
         after = [b if a is None else a if b is None else union([a, b]) for a, b in zip(before, batch, strict=True)]
         if any(a is None for a in after):
             raise ValueError("an input was never fed; feed it an empty table")
+        if self.linear:
+            # earlier rows are needed no more; an input that isn't fed is as an empty one
+            rows = [a if b is None else b for a, b in zip(before, batch, strict=True)]
+            self.before, self.batch, self.time = [r.limit(0) for r in rows], [None] * self.n, self.time + 1
+            return consolidate(weighted(self.query(*map(Flow, rows)).df))
         self.before, self.batch, self.time = after, [None] * self.n, self.time + 1
         if self.keys:
             touched = union([b.select(*self.keys) for b in batch if b is not None]).distinct()

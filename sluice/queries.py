@@ -340,11 +340,11 @@ def _(t):
     return Flow(back).count().map("k", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy")).df
 
 
-def _stepped(t, query, columns: list[str], keys: list[str] | None) -> DataFrame:
+def _stepped(t, query, columns: list[str], keys: list[str] | None, linear: bool = False) -> DataFrame:
     """The sum of the deltas of four batches by event_id."""
     rows = t("events").df.select(*columns)
     batches = rows.withColumn("__step", (F.col("event_id") % 4).cast("int"))
-    return consolidate(Machine(query, keys).steps(batches, "__step", 4)).withColumnRenamed(MULT, "mult")
+    return consolidate(Machine(query, keys, linear=linear).steps(batches, "__step", 4)).withColumnRenamed(MULT, "mult")
 
 
 @_query("incremental_max_by", "select user_id, ts, event_id, cast(1 as bigint) as mult from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
@@ -360,7 +360,7 @@ def _(t):
 @_query("incremental_join", "select user_id, event_id, c_name, cast(1 as bigint) as mult from events join customer on user_id = c_custkey")
 def _(t):
     names = t("customer").map(F.col("c_custkey").alias("user_id"), "c_name").group("user_id")
-    return _stepped(t, lambda f: f.group("user_id").join_single(names, "user_id", "event_id", "c_name"), ["user_id", "event_id"], ["user_id"])
+    return _stepped(t, lambda f: f.group("user_id").join_single(names, "user_id", "event_id", "c_name"), ["user_id", "event_id"], ["user_id"], linear=True)
 
 
 @_query("incremental_regroup", "select event_type, max(n) as mx, cast(1 as bigint) as mult from (select event_type, user_id, count(*) as n from events group by 1, 2) group by 1")

@@ -103,3 +103,23 @@ def test_deltas_add_up(spark, name, batches):
     want = consolidate(weighted(query(Flow(whole)).df))
     cols = want.columns
     assert sorted(map(tuple, consolidate(total).select(cols).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_linear_steps_evaluate_their_batch_alone(spark):
+    names = Flow(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k long, name string")).group("k")
+    query = lambda f: f.group("k").join_single(names, "k", "v", "name")
+    batches = [spark.createDataFrame(r, f"k long, v long, {MULT} long") for r in ([(1, 1, 1), (2, 2, 1), (1, 1, 1)], [(2, 2, -1), (3, 1, 1)], [(1, 1, -1), (1, 5, 2)])]
+    seen = []
+
+    def counted(f):
+        seen.append(f.df.count())
+        return query(f)
+
+    plain, linear = Machine(query, ["k"]), Machine(counted, ["k"], linear=True)
+    for b in batches:
+        want, got = (sorted(map(tuple, m.feed(b).drain().select("k", "v", "name", MULT).collect())) for m in (plain, linear))
+        assert got == want and got
+    assert seen == [3, 2, 2]
+    both = Machine(lambda a, b: a.concat(b.negate()), inputs=2, linear=True)
+    both.feed(batches[0]).feed(batches[1], 1).drain()
+    assert sorted(map(tuple, both.feed(batches[2], 1).drain().collect())) == [(1, 1, 1), (1, 5, -2)]
